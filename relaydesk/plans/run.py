@@ -1,6 +1,6 @@
 """The whole run: prepare, train, triage with three configurations, evaluate, judge, summarise.
 
-    spark-submit relaydesk/plans/run.py --transcripts IN --out OUT [--brand B] [--quick]
+    spark-submit run.py --transcripts IN --out OUT [--brand B] [--quick]
         [--skip-judge] [--labelled PATH --label-names PATH] [--no-labelled] [--human-scores PATH]
 """
 
@@ -141,7 +141,3 @@ def main(argv: list[str] | None = None) -> None:
         results["cross_domain_report"] = cross_domain(examples, mapping, "example_id")
     for name, table in results.items():
         tables.write_json(table, f"{args.out}/{name}")
-
-
-if __name__ == "__main__":
-    main()
