@@ -353,9 +353,9 @@ def oracle_sql() -> dict[str, str]:
             AND length(first_support_reply) >= 15 ORDER BY conversation_id LIMIT 50""",
         "first_pair": f"""
             WITH u AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')),
-            a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS at, count(*)::INT AS num_turns FROM u GROUP BY 1),
-            p AS (SELECT conv_id, num_turns, max(text) FILTER (role = 'user' AND turn = at) AS msg,
-                    arg_min(text, turn) FILTER (role = 'assistant' AND turn > at) AS first_support_reply
+            a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS asked_at, count(*)::INT AS num_turns FROM u GROUP BY 1),
+            p AS (SELECT conv_id, num_turns, max(text) FILTER (role = 'user' AND turn = asked_at) AS msg,
+                    arg_min(text, turn) FILTER (role = 'assistant' AND turn > asked_at) AS first_support_reply
                   FROM u JOIN a USING (conv_id) GROUP BY 1, 2),
             c AS (SELECT conv_id AS conversation_id, {CLEAN.format('msg')} AS first_customer_msg, first_support_reply, num_turns FROM p)
             SELECT * FROM c WHERE num_turns >= 2 AND length(first_customer_msg) >= 20 AND length(first_support_reply) >= 15""",

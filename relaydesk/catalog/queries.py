@@ -764,11 +764,14 @@ def model_roundtrip(spark, d):
 def agent_results(spark, d):
     """Metric documents written per agent and read back from one folder of documents."""
     work = Workspace(spark)
-    long = _agents_long(spark, d).withColumn("predictions", F.lit("bulky"))
-    tables.write_agent_results(long, work.path("agents_results.json"))
-    tables.write_json(long, work.path("judge_results.json"))
-    back = tables.read_agent_results(spark, work.root, "agent STRING, metric STRING, value DOUBLE")
-    return back.select("agent", "metric", "value")
+    long = work.stage("long", _agents_long(spark, d))
+    for agent in ("words", "letters", "constant", "judge"):
+        document = long.where(F.col("agent") == ("words" if agent == "judge" else agent)).groupBy("agent").agg(
+            F.collect_list(F.struct("metric", "value")).alias("metrics"), F.lit("bulky").alias("predictions"))
+        tables.write_agent_results(document, work.path(f"{agent}_results.json"))
+    back = tables.read_agent_results(
+        spark, work.root, "agent STRING, metrics ARRAY<STRUCT<metric: STRING, value: DOUBLE>>")
+    return back.select("agent", F.explode("metrics").alias("m")).select("agent", "m.metric", "m.value")
 
 
 def _stream(spark, d, name):
@@ -789,7 +792,9 @@ def stream_first_seen(spark, d):
 def stream_first_seen_bounded(spark, d):
     """Repeated event payloads within a watermark, on the event table."""
     work = Workspace(spark)
-    events = _stream(spark, d, "events").select("ts", F.concat_ws("|", "user_id", "event_type", "props").alias("text"))
+    events = _stream(spark, d, "events").select(
+        "ts", F.concat_ws("|", "user_id", "event_type", "props").alias("text")
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
     kept = live.first_seen(events, "text", "ts", "365 days").select("msg_md5")
     live.append_stream(kept, work.path("seen"), work.path("seen_state")).awaitTermination()
     return spark.read.parquet(work.path("seen"))

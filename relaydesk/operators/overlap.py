@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
@@ -32,8 +33,6 @@ def lcs_length(a: Column, b: Column) -> Column:
     Bit-parallel (Crochemore et al., 2001): one row of the table per machine word run, so long
     replies cost tokens x tokens / 64. Arrow batches, no state between rows.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
     def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
@@ -52,7 +51,7 @@ def lcs_length(a: Column, b: Column) -> Column:
             out.append(len(x) - row.bit_count())
         return pd.Series(out, dtype="Int32")
 
-    return pandas_udf(lcs, IntegerType())(a, b)
+    return F.pandas_udf(lcs, IntegerType())(a, b)
 
 
 def overlap_scores(

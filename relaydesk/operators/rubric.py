@@ -118,15 +118,12 @@ def _weighted_corr(a: Column, b: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)), F.lit(0.0))
 
 
-def _ranked(cells: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of every value from the counted cells of its dimension."""
-    marginal = cells.groupBy("dim", value).agg(F.sum("n").alias("__m"))
-    before = Window.partitionBy("dim").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = marginal.select(
-        "dim", value,
-        (F.coalesce(F.sum("__m").over(before), F.lit(0)) + (F.col("__m") + 1) / 2.0).alias(out),
-    )
-    return cells.join(ranks, ["dim", value])
+def _rank(value: str) -> Column:
+    """Average rank of ``value`` among the counted cells of its group."""
+    group = Window.partitionBy("dim", "kind")
+    smaller = F.sum("n").over(group.orderBy(value).rangeBetween(Window.unboundedPreceding, -1))
+    same = F.sum("n").over(Window.partitionBy("dim", "kind", value))
+    return F.coalesce(smaller, F.lit(0)) + (same + 1) / 2.0
 
 
 def agreement(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
@@ -140,37 +137,36 @@ def agreement(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     left = ours.select(key, *[F.col(d).alias(f"a_{d}") for d in DIMS])
     right = theirs.select(key, *[F.col(d).alias(f"b_{d}") for d in DIMS])
     both = left.join(right, key)
-    pairs = [
-        F.struct(F.lit(d).alias("dim"), F.col(f"a_{d}").alias("a"), F.col(f"b_{d}").alias("b"))
-        for d in DIMS
-    ]
-    pairs.append(F.struct(F.lit("pass").alias("dim"), passes("a_").cast("int").alias("a"),
-                          passes("b_").cast("int").alias("b")))
+    def cell(dim, kind, a, b):
+        return F.struct(F.lit(dim).alias("dim"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    cells = [cell(d, "score", F.col(f"a_{d}"), F.col(f"b_{d}")) for d in DIMS]
+    cells.append(cell("overall", "pass", passes("a_").cast("int"), passes("b_").cast("int")))
     counted = (
-        both.select(F.explode(F.array(*pairs)).alias("p"))
-        .groupBy("p.dim", "p.a", "p.b").agg(F.count("*").alias("n"))
-    )
-    scored = counted.where(F.col("dim") != "pass")
-    cells = scored.unionByName(
-        scored.groupBy("a", "b").agg(F.sum("n").alias("n")).withColumn("dim", F.lit("overall"))
+        both.select(F.explode(F.array(*cells)).alias("p"))
+        .groupBy("p.dim", "p.kind", "p.a", "p.b").agg(F.count("*").alias("n"))
     )
-    ranked = _ranked(_ranked(cells, "a", "ra"), "b", "rb")
-    n = F.col("n")
-    total = F.sum(n)
-    per_dim = ranked.groupBy("dim").agg(
-        F.round(_weighted_corr(F.col("ra"), F.col("rb"), n), 4).alias("spearman_rho"),
-        F.round(_weighted_corr(F.col("a"), F.col("b"), n), 4).alias("pearson_r"),
-        F.round(F.sum(F.when(F.col("a") == F.col("b"), n).otherwise(0)) / total, 4).alias("exact_agreement"),
-        F.round(F.sum(F.when(F.abs(F.col("a") - F.col("b")) <= 1, n).otherwise(0)) / total, 4).alias(
-            "within_1_agreement"
-        ),
+    dims = F.when(F.col("kind") == "score", F.array("dim", F.lit("overall"))).otherwise(F.array("dim"))
+    pooled = (
+        counted.withColumn("dim", F.explode(dims))
+        .groupBy("dim", "kind", "a", "b").agg(F.sum("n").alias("n"))
     )
-    passed = counted.where(F.col("dim") == "pass")
-    same = F.sum(F.when(F.col("a") == F.col("b"), n).otherwise(0)) / total
-    a_yes, b_yes = F.sum(n * F.col("a")) / total, F.sum(n * F.col("b")) / total
+    ranked = pooled.withColumn("ra", _rank("a")).withColumn("rb", _rank("b"))
+
+    a, b = F.col("a"), F.col("b")
+    score = F.when(F.col("kind") == "score", F.col("n")).otherwise(0)
+    verdict = F.when(F.col("kind") == "pass", F.col("n")).otherwise(0)
+
+    def share(weight, cond):
+        return F.try_divide(F.sum(F.when(cond, weight).otherwise(0)).cast("double"), F.sum(weight))
+
+    same, a_yes, b_yes = share(verdict, a == b), share(verdict, a == 1), share(verdict, b == 1)
     by_chance = a_yes * b_yes + (1 - a_yes) * (1 - b_yes)
-    overall = passed.groupBy(F.lit("overall").alias("dim")).agg(
+    return ranked.groupBy("dim").agg(
+        F.round(_weighted_corr(F.col("ra"), F.col("rb"), score), 4).alias("spearman_rho"),
+        F.round(_weighted_corr(a, b, score), 4).alias("pearson_r"),
+        F.round(share(score, a == b), 4).alias("exact_agreement"),
+        F.round(share(score, F.abs(a - b) <= 1), 4).alias("within_1_agreement"),
         F.round(F.try_divide(same - by_chance, 1 - by_chance), 4).alias("cohens_kappa"),
         F.round(same, 4).alias("pass_fail_agreement"),
     )
-    return per_dim.join(overall, "dim", "left")
