@@ -631,15 +631,11 @@ def scalar_text(spark, d):
 # -- models, composite jobs ---------------------------------------------------------------------
 
 @query
-def tfidf_vectors(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text")
+def tfidf_terms(spark, d):
+    """The ten heaviest terms of every language by mean TF-IDF weight."""
+    docs = read(spark, d, "documents").select("lang", "text")
     model = textmodel.fit_tfidf(docs.select("text"))
-    v = model.transform(docs).select("doc_id", textmodel.MF.vector_to_array("features").alias("v"))
-    return v.select(
-        "doc_id",
-        F.aggregate("v", F.lit(0), lambda a, x: a + (x > 0).cast("int")).alias("n_terms"),
-        F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"),
-    )
+    return textmodel.heaviest_terms(model, docs, "lang", 10)
 
 
 @query
@@ -661,14 +657,15 @@ def text_retrieval(spark, d):
 @query
 def tfidf_classify(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    model = textmodel.fit_classifier(docs.select("text", "label"), max_iter=MAX_ITER)
+    model = textmodel.fit_classifier(docs.select("text", "label"), max_iter=MAX_ITER, work=Workspace(spark))
     return textmodel.classify_tfidf(docs, model, "text").select("doc_id", "label", "intent", "intent_confidence")
 
 
 @query
 def cross_domain(spark, d):
     return run.cross_domain(
-        labelled_docs(spark, d), datasets.class_map_table(spark, SOURCE_MAP), "doc_id", max_iter=MAX_ITER)
+        labelled_docs(spark, d), datasets.class_map_table(spark, SOURCE_MAP), "doc_id", Workspace(spark),
+        max_iter=MAX_ITER)
 
 
 def _prepared(spark, d):

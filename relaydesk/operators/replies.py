@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.ordering import pick_index
-from ..functions.text import NOT_WS, contains_any, strip
+from ..functions.text import NOT_WS, WS, contains_any, strip
 from ..rules import RulePack
 
 DM_FALLBACK = "We're here to help. DM us your details and we'll assist you. {dm_link}"
@@ -17,9 +19,7 @@ def resolution_of(best_reply: Column, has_case: Column) -> Column:
     text = strip(F.regexp_replace(best_reply, rf"(?U)@{NOT_WS}+", ""))
     text = strip(F.regexp_replace(text, rf"(?U)https://t\.co/{NOT_WS}+", ""))
     for prefix in fv.RESOLUTION_PREFIXES:
-        text = F.when(
-            text.startswith(prefix), strip(F.substring(text, len(prefix) + 1, 2**31 - 1))
-        ).otherwise(text)
+        text = F.regexp_replace(text, rf"(?U)^{re.escape(prefix)}{WS}*", "")
     return (
         F.when(~has_case, fv.RESOLUTION_NO_CASE)
         .when(F.length(text) < 10, fv.RESOLUTION_TOO_SHORT)

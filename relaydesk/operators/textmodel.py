@@ -19,8 +19,12 @@ from pyspark.ml.feature import (
     StringIndexer,
 )
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordering import top_n_per_group
+from ..sources.workspace import Workspace
+
 TEXT = "text"
 
 
@@ -38,45 +42,53 @@ def term_stages(stop_words: bool) -> list:
     return stages
 
 
-def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True) -> PipelineModel:
-    """Term frequencies x (ln((1 + rows) / (1 + rows with the term)) + 1), scaled to unit length.
-
-    Spark's inverse document frequency has no added 1, so the fitted weights get it before they
-    become a fixed element-wise product.
-    """
-    before = Pipeline(stages=[
+def _fit_terms(texts: DataFrame, vocab: int, min_df: int, stop_words: bool) -> PipelineModel:
+    return Pipeline(stages=[
         *term_stages(stop_words),
         CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab, minDF=float(min_df)),
     ]).fit(texts)
-    idf = IDF(inputCol="__tf", outputCol="__idf").fit(before.transform(texts)).idf
-    weights = Vectors.dense([w + 1.0 for w in idf.toArray()])
-    return PipelineModel([
-        before,
-        ElementwiseProduct(scalingVec=weights, inputCol="__tf", outputCol="__weighted"),
+
+
+def _weight_stages(counted: DataFrame) -> list:
+    """Spark's inverse document frequency has no added 1, so the fitted weights get it before
+    they become a fixed element-wise product."""
+    idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf
+    return [
+        ElementwiseProduct(scalingVec=Vectors.dense([w + 1.0 for w in idf.toArray()]),
+                           inputCol="__tf", outputCol="__weighted"),
         Normalizer(p=2.0, inputCol="__weighted", outputCol="features"),
-    ])
+    ]
+
+
+def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True) -> PipelineModel:
+    """Term frequencies x (ln((1 + rows) / (1 + rows with the term)) + 1), scaled to unit length."""
+    terms = _fit_terms(texts, vocab, min_df, stop_words)
+    return PipelineModel([terms, *_weight_stages(terms.transform(texts).select("__tf"))])
 
 
 def fit_classifier(
     examples: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True,
-    c: float = 1.0, max_iter: int = 1000,
+    c: float = 1.0, max_iter: int = 1000, work: Workspace | None = None, name: str = "term_vectors",
 ) -> PipelineModel:
     """TF-IDF and multinomial logistic regression on (text, label).
 
-    ``regParam = 1 / (C x rows)`` is the same penalty as an inverse strength ``C``.
+    ``regParam = 1 / (C x rows)`` is the same penalty as an inverse strength ``C``. With a
+    workspace the term vectors are written once, and weights and regression read those instead
+    of the texts.
     """
-    tfidf = fit_tfidf(examples.select(TEXT), vocab, min_df, stop_words)
-    vectors = tfidf.transform(examples).select("label", "features")
-    index = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(examples)
-    rows = examples.count()
+    terms = _fit_terms(examples.select(TEXT), vocab, min_df, stop_words)
+    counted = terms.transform(examples).select("label", "__tf")
+    if work is not None:
+        counted = work.stage(name, counted)
+    weights = PipelineModel(_weight_stages(counted))
+    index = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(counted)
     regression = LogisticRegression(
         featuresCol="features", labelCol="__y", family="multinomial", maxIter=max_iter,
-        regParam=1.0 / (c * rows), standardization=False,
+        regParam=1.0 / (c * counted.count()), standardization=False,
         probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw",
-    ).fit(index.transform(vectors))
+    ).fit(index.transform(weights.transform(counted)).select("__y", "features"))
     names = IndexToString(inputCol="__prediction", outputCol="intent", labels=index.labels)
-    return PipelineModel([tfidf, regression, names])
+    return PipelineModel([terms, weights, regression, names])
 
 
 def labels_of(model: PipelineModel) -> list[str]:
@@ -88,7 +100,7 @@ def classify_tfidf(df: DataFrame, model: PipelineModel, text_col: str) -> DataFr
     labels = F.array(*[F.lit(x) for x in labels_of(model)])
     scored = model.transform(df.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit(""))))
     probability = MF.vector_to_array("__probability")
-    scores = F.slice(F.transform(probability, lambda p: F.round(p, 4)), 1, F.size(labels))
+    scores = F.transform(probability, lambda p: F.round(p, 4))
     return scored.select(
         *[c for c in df.columns],
         "intent",
@@ -97,6 +109,22 @@ def classify_tfidf(df: DataFrame, model: PipelineModel, text_col: str) -> DataFr
     )
 
 
+def heaviest_terms(model: PipelineModel, df: DataFrame, group: str, n: int = 10) -> DataFrame:
+    """(group, term, weight): the terms with the largest mean TF-IDF weight per group.
+
+    The mean is taken over sparse vectors, combined on the map side; one dense vector per group
+    is left to rank.
+    """
+    vocabulary = F.array(*[F.lit(t) for t in model.stages[0].stages[-1].vocabulary])
+    means = model.transform(df).groupBy(group).agg(
+        MF.vector_to_array(Summarizer.mean(F.col("features"))).alias("mean")
+    )
+    weights = means.select(group, F.posexplode("mean").alias("pos", "weight")).where("weight > 0")
+    ranked = top_n_per_group(weights, [group], [F.desc("weight"), F.col("pos")], n, "rank")
+    return ranked.select(group, F.get(vocabulary, F.col("pos")).alias("term"),
+                         F.round("weight", 6).alias("weight"), "rank")
+
+
 def fit_encoder(texts: DataFrame, text_col: str = TEXT, dims: int = 256) -> PipelineModel:
     """A text encoder: hashed terms, inverse document frequency, unit length."""
     return Pipeline(stages=[

@@ -36,16 +36,15 @@ def parse_turns(df: DataFrame, id_col: str = "conversation_id", text_col: str =
 
 def first_pair_of(turns: Column) -> Column:
     """First customer text (cleaned) and the first support text after it, from a turn array."""
-    placed = F.transform(
-        turns, lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), i.alias("pos"))
-    )
-    asked = F.get(F.filter(placed, lambda t: t["role"] == "customer"), F.lit(0))
-    answered = F.get(
-        F.filter(placed, lambda t: (t["role"] == "support") & (t["pos"] > asked["pos"])), F.lit(0)
-    )
+    def place_of(array, role):
+        return F.array_position(F.transform(array, lambda t: t["role"]), role).cast("int")
+
+    asked_at = place_of(turns, "customer")
+    later = F.slice(turns, asked_at + 1, F.size(turns))
+    answered_at = place_of(later, "support")
     return F.struct(
-        clean_message(asked["text"]).alias("first_customer_msg"),
-        answered["text"].alias("first_support_reply"),
+        clean_message(F.get(turns, asked_at - 1)["text"]).alias("first_customer_msg"),
+        F.get(later, answered_at - 1)["text"].alias("first_support_reply"),
     )
 
 
@@ -63,7 +62,11 @@ def extract_conversations(
     """
     kept = transcripts if brand is None else transcripts.where(F.col("company") == brand)
     out = (
-        kept.select("conversation_id", "conversation", turns_of(F.col("conversation")).alias("turns"))
+        # a one-element explode keeps the filters below from parsing the text a second time
+        kept.select(
+            "conversation_id", "conversation",
+            F.explode(F.array(turns_of(F.col("conversation")))).alias("turns"),
+        )
         .where(F.size("turns") >= 2)
         .withColumn("__pair", first_pair_of(F.col("turns")))
         .select(

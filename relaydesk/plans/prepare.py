@@ -89,6 +89,6 @@ def train(prepared: Prepared, work: Workspace, pack: RulePack = SUPPORT_PACK, di
         kb=vectors,
         encoder=encoder,
         examples=examples.select("id", "label", "vec"),
-        tfidf=fit_classifier(examples.select("text", "label"), max_iter=max_iter),
+        tfidf=fit_classifier(examples.select("text", "label"), max_iter=max_iter, work=work),
         pack=pack,
     )

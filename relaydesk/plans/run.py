@@ -61,15 +61,16 @@ def analyse_labelled(examples: DataFrame, class_map: DataFrame) -> dict[str, Dat
     }
 
 
-def cross_domain(examples: DataFrame, class_map: DataFrame, id_col: str, max_iter: int = 1000) -> DataFrame:
+def cross_domain(examples: DataFrame, class_map: DataFrame, id_col: str, work: Workspace,
+                 max_iter: int = 1000) -> DataFrame:
     """Report of a classifier trained on four fifths of the mapped dataset, scored on the rest."""
     mapped = datasets.map_examples(examples, class_map).select(
         F.col(id_col).alias("id"), "text", F.col("intent").alias("label")
     )
-    split = stratified_split(mapped, "label", "id")
+    split = work.stage("split", stratified_split(mapped, "label", "id"))
     model = fit_classifier(
         split.where(F.col("split") == "train").select("text", "label"),
-        vocab=3000, min_df=1, stop_words=False, max_iter=max_iter,
+        vocab=3000, min_df=1, stop_words=False, max_iter=max_iter, work=work, name="split_vectors",
     )
     predicted = classify_tfidf(split.where(F.col("split") == "test"), model, "text")
     return metrics.full_report(metrics.confusion_counts(predicted, "label", "intent"))
@@ -138,6 +139,6 @@ def main(argv: list[str] | None = None) -> None:
             "example_id", F.md5(F.concat_ws("|", "label_name", "text"))))
         mapping = datasets.class_map_table(spark)
         results |= analyse_labelled(examples, mapping)
-        results["cross_domain_report"] = cross_domain(examples, mapping, "example_id")
+        results["cross_domain_report"] = cross_domain(examples, mapping, "example_id", work)
     for name, table in results.items():
         tables.write_json(table, f"{args.out}/{name}")
