@@ -53,7 +53,7 @@ def label_intents(df: DataFrame, text_col: str, pack: RulePack) -> DataFrame:
 
 def gold_escalation(df: DataFrame, text_col: str, pack: RulePack, intent_col: str = "intent") -> DataFrame:
     """Adds gold_escalation and gold_escalation_reason: trigger words first, then the intent default."""
-    lowered = F.lower(F.col(text_col))
+    lowered = F.col("__lowered")
     intent = F.col(intent_col)
     escalating = [(i, reason) for i, decision, reason in pack.intent_defaults if decision == "ESCALATE"]
     by_intent = intent.isin([i for i, _ in escalating]) if escalating else F.lit(False)
@@ -61,7 +61,8 @@ def gold_escalation(df: DataFrame, text_col: str, pack: RulePack, intent_col: st
     for reason, words in reversed(pack.gold_triggers):
         triggered = F.when(contains_any(lowered, words), reason).otherwise(triggered)
     return (
-        df.withColumn("__trigger", triggered)
+        df.withColumn("__lowered", F.lower(text_col))
+        .withColumn("__trigger", triggered)
         .withColumn(
             "gold_escalation",
             F.when(F.col(text_col).isNull(), F.lit(None))
@@ -72,11 +73,12 @@ def gold_escalation(df: DataFrame, text_col: str, pack: RulePack, intent_col: st
             F.when(F.col(text_col).isNull(), F.lit(None))
             .otherwise(F.coalesce("__trigger", intent_case(intent, escalating, pack.gold_auto_reason))),
         )
-        .drop("__trigger")
+        .drop("__trigger", "__lowered")
     )
 
 
 def difficulty(text: Column, confidence: Column, n_intents: Column, pack: RulePack) -> Column:
+    """multi_intent, ambiguous, adversarial or standard, the first that applies."""
     return (
         F.when(n_intents >= 3, "multi_intent")
         .when((confidence < 0.4) & (F.length(text) < 50), "ambiguous")

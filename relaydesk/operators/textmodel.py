@@ -115,14 +115,16 @@ def heaviest_terms(model: PipelineModel, df: DataFrame, group: str, n: int = 10)
     The mean is taken over sparse vectors, combined on the map side; one dense vector per group
     is left to rank.
     """
-    vocabulary = F.array(*[F.lit(t) for t in model.stages[0].stages[-1].vocabulary])
+    vocabulary = df.sparkSession.createDataFrame(
+        list(enumerate(model.stages[0].stages[-1].vocabulary)), "pos int, term string"
+    )
     means = model.transform(df).groupBy(group).agg(
         MF.vector_to_array(Summarizer.mean(F.col("features"))).alias("mean")
     )
     weights = means.select(group, F.posexplode("mean").alias("pos", "weight")).where("weight > 0")
     ranked = top_n_per_group(weights, [group], [F.desc("weight"), F.col("pos")], n, "rank")
-    return ranked.select(group, F.get(vocabulary, F.col("pos")).alias("term"),
-                         F.round("weight", 6).alias("weight"), "rank")
+    return ranked.join(vocabulary, "pos").select(
+        group, "term", F.round("weight", 6).alias("weight"), "rank")
 
 
 def fit_encoder(texts: DataFrame, text_col: str = TEXT, dims: int = 256) -> PipelineModel:
