@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..rules import SUPPORT_PACK, Factor
+from ..sources.tables import spread
 
 _REASON = {f.name: f.reason for f in SUPPORT_PACK.factors}
 
@@ -50,8 +51,13 @@ SOURCE_MAP = tuple(
 ) + (("src_retired", "connectivity"),)
 
 
+KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; the two text tables are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *KEYS[name]) if name in KEYS else df
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -677,7 +677,7 @@ def _prepared(spark, d):
 def triage_full(spark, d):
     """Every customer message of the conversations through the proposed configuration."""
     prepared, work = _prepared(spark, d)
-    resources = prepare.train(prepared, work, PACK, max_iter=MAX_ITER)
+    resources = prepare.train(prepared, work, PACK, tfidf=False)
     queries = work.stage("messages", vectorise(messages(spark, d), resources, "id", "text"))
     out = triage(queries, PROPOSED, resources)
     return out.select("query_id", "intent", "intent_confidence", "escalation_decision", "risk_score",
@@ -688,7 +688,7 @@ def triage_full(spark, d):
 def triage_records(spark, d):
     """All fields of the prediction record, nested ones as JSON."""
     prepared, work = _prepared(spark, d)
-    resources = prepare.train(prepared, work, PACK, max_iter=MAX_ITER)
+    resources = prepare.train(prepared, work, PACK, tfidf=False)
     queries = work.stage("messages", vectorise(messages(spark, d), resources, "id", "text"))
     out = triage(queries, PROPOSED, resources)
     nested = ("intent_all_scores", "escalation_factors", "retrieved_cases", "grounding_sources")
@@ -800,7 +800,7 @@ def stream_first_seen_bounded(spark, d):
 @query
 def stream_triage(spark, d):
     prepared, work = _prepared(spark, d)
-    resources = prepare.train(prepared, work, PACK, max_iter=MAX_ITER)
+    resources = prepare.train(prepared, work, PACK, tfidf=False)
     arriving = _stream(spark, d, "conversations").where(F.col("role") == "user").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     out = work.path("scored")

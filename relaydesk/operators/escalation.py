@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import matches, matches_any
+from ..functions.text import folded, matches, matches_any
 from ..rules import RulePack, intent_case
 
 DECISION = "struct<decision:string,reason:string,factors:array<string>,risk_score:double>"
@@ -13,7 +13,8 @@ DECISION = "struct<decision:string,reason:string,factors:array<string>,risk_scor
 
 def matched_patterns(text: Column, patterns) -> Column:
     """The patterns of one group that match, in order."""
-    return F.array_compact(F.array(*[F.when(matches(text, p), p) for p in patterns]))
+    lowered = folded(text)
+    return F.array_compact(F.array(*[F.when(matches(lowered, p), p) for p in patterns]))
 
 
 def decide_by_factors(
@@ -34,14 +35,14 @@ def decide_by_factors(
     similarity = F.lit(1.0) if similarity is None else similarity
     flags = []
     for f in pack.factors:
-        hit = matches_any(text, f.patterns)
+        hit = matches_any(F.col("__folded"), f.patterns)
         if f.intent is not None:
             hit = hit | ((intent == f.intent) & (confidence >= threshold))
         flags.append((f.name, f.weight, hit))
     flags.append((*fv.LOW_CONFIDENCE, confidence < threshold))
     flags.append((*fv.LOW_RETRIEVAL, similarity < fv.RETRIEVAL_THRESHOLD))
 
-    flagged = df.withColumn(
+    flagged = df.withColumn("__folded", folded(text)).withColumn(
         "__flags", F.array(*[F.coalesce(hit, F.lit(False)) for _, _, hit in flags])
     )
     on = [F.col("__flags")[i] for i in range(len(flags))]
@@ -68,16 +69,16 @@ def decide_by_factors(
     )
     return flagged.withColumn(
         out, F.when(text.isNotNull(), decision).otherwise(F.lit(None).cast(DECISION))
-    ).drop("__flags")
+    ).drop("__flags", "__folded")
 
 
 def decide_by_keywords(df: DataFrame, pack: RulePack, text_col: str, out: str = "escalation") -> DataFrame:
     """Pattern groups alone; the reason names the first group that matches."""
     text = F.col(text_col)
     factors = F.array_compact(
-        F.array(*[F.when(matches_any(text, f.patterns), f.name) for f in pack.factors])
+        F.array(*[F.when(matches_any(F.col("__folded"), f.patterns), f.name) for f in pack.factors])
     )
-    staged = df.withColumn("__factors", factors)
+    staged = df.withColumn("__folded", folded(text)).withColumn("__factors", factors)
     hit = F.size("__factors") > 0
     decision = F.struct(
         F.when(hit, "ESCALATE").otherwise("AUTO_HANDLE").alias("decision"),
@@ -89,7 +90,7 @@ def decide_by_keywords(df: DataFrame, pack: RulePack, text_col: str, out: str =
     )
     return staged.withColumn(
         out, F.when(text.isNotNull(), decision).otherwise(F.lit(None).cast(DECISION))
-    ).drop("__factors")
+    ).drop("__factors", "__folded")
 
 
 def decide_always_auto(df: DataFrame, text_col: str, out: str = "escalation") -> DataFrame:

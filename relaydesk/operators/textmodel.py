@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pyspark.ml.functions as MF
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
     IDF,
@@ -42,28 +44,44 @@ def term_stages(stop_words: bool) -> list:
     return stages
 
 
-def _fit_terms(texts: DataFrame, vocab: int, min_df: int, stop_words: bool) -> PipelineModel:
-    return Pipeline(stages=[
-        *term_stages(stop_words),
-        CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab, minDF=float(min_df)),
-    ]).fit(texts)
-
-
-def _weight_stages(counted: DataFrame) -> list:
-    """Spark's inverse document frequency has no added 1, so the fitted weights get it before
-    they become a fixed element-wise product."""
-    idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf
-    return [
-        ElementwiseProduct(scalingVec=Vectors.dense([w + 1.0 for w in idf.toArray()]),
-                           inputCol="__tf", outputCol="__weighted"),
-        Normalizer(p=2.0, inputCol="__weighted", outputCol="features"),
-    ]
+def vocabulary(terms: DataFrame, vocab: int, min_df: int) -> DataFrame:
+    """(term, tf, df) of the ``vocab`` most frequent terms in at least ``min_df`` rows.
+
+    ``terms`` has one array column ``__terms``. The first place of a term in its sorted row counts
+    towards the row frequency, so one grouping gives both counts.
+    """
+    sorted_terms = terms.select(F.sort_array("__terms").alias("s"))
+    marked = F.transform(
+        "s",
+        lambda t, i: F.struct(
+            t.alias("term"),
+            F.when((i == 0) | (F.get("s", i - 1) != t), 1).otherwise(0).alias("first"),
+        ),
+    )
+    return (
+        sorted_terms.select(F.explode(marked).alias("x"))
+        .groupBy("x.term").agg(F.count("*").alias("tf"), F.sum("x.first").alias("df"))
+        .where(F.col("df") >= min_df)
+        .orderBy(F.desc("tf"), "term")
+        .limit(vocab)
+    )
 
 
 def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True) -> PipelineModel:
-    """Term frequencies x (ln((1 + rows) / (1 + rows with the term)) + 1), scaled to unit length."""
-    terms = _fit_terms(texts, vocab, min_df, stop_words)
-    return PipelineModel([terms, *_weight_stages(terms.transform(texts).select("__tf"))])
+    """Term frequencies x (ln((1 + rows) / (1 + rows with the term)) + 1), scaled to unit length.
+
+    The driver holds the chosen terms and their weights, at most ``vocab`` of each.
+    """
+    words = Pipeline(stages=term_stages(stop_words)).fit(texts)
+    rows = texts.count()
+    chosen = vocabulary(words.transform(texts).select("__terms"), vocab, min_df).collect()
+    weights = [math.log((1 + rows) / (1 + r["df"])) + 1.0 for r in chosen]
+    return PipelineModel([
+        words,
+        CountVectorizerModel.from_vocabulary([r["term"] for r in chosen], inputCol="__terms", outputCol="__tf"),
+        ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="__tf", outputCol="__weighted"),
+        Normalizer(p=2.0, inputCol="__weighted", outputCol="features"),
+    ])
 
 
 def fit_classifier(
@@ -73,22 +91,20 @@ def fit_classifier(
     """TF-IDF and multinomial logistic regression on (text, label).
 
     ``regParam = 1 / (C x rows)`` is the same penalty as an inverse strength ``C``. With a
-    workspace the term vectors are written once, and weights and regression read those instead
-    of the texts.
+    workspace the vectors are written once and the regression reads those instead of the texts.
     """
-    terms = _fit_terms(examples.select(TEXT), vocab, min_df, stop_words)
-    counted = terms.transform(examples).select("label", "__tf")
+    tfidf = fit_tfidf(examples.select(TEXT), vocab, min_df, stop_words)
+    vectors = tfidf.transform(examples).select("label", "features")
     if work is not None:
-        counted = work.stage(name, counted)
-    weights = PipelineModel(_weight_stages(counted))
-    index = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(counted)
+        vectors = work.stage(name, vectors)
+    index = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(vectors)
     regression = LogisticRegression(
         featuresCol="features", labelCol="__y", family="multinomial", maxIter=max_iter,
-        regParam=1.0 / (c * counted.count()), standardization=False,
+        regParam=1.0 / (c * vectors.count()), standardization=False,
         probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw",
-    ).fit(index.transform(weights.transform(counted)).select("__y", "features"))
+    ).fit(index.transform(vectors).select("__y", "features"))
     names = IndexToString(inputCol="__prediction", outputCol="intent", labels=index.labels)
-    return PipelineModel([terms, weights, regression, names])
+    return PipelineModel([tfidf, regression, names])
 
 
 def labels_of(model: PipelineModel) -> list[str]:
@@ -115,15 +131,15 @@ def heaviest_terms(model: PipelineModel, df: DataFrame, group: str, n: int = 10)
     The mean is taken over sparse vectors, combined on the map side; one dense vector per group
     is left to rank.
     """
-    vocabulary = df.sparkSession.createDataFrame(
-        list(enumerate(model.stages[0].stages[-1].vocabulary)), "pos int, term string"
+    names = df.sparkSession.createDataFrame(
+        list(enumerate(model.stages[1].vocabulary)), "pos int, term string"
     )
     means = model.transform(df).groupBy(group).agg(
         MF.vector_to_array(Summarizer.mean(F.col("features"))).alias("mean")
     )
     weights = means.select(group, F.posexplode("mean").alias("pos", "weight")).where("weight > 0")
     ranked = top_n_per_group(weights, [group], [F.desc("weight"), F.col("pos")], n, "rank")
-    return ranked.join(vocabulary, "pos").select(
+    return ranked.join(names, "pos").select(
         group, "term", F.round("weight", 6).alias("weight"), "rank")
 
 

@@ -65,8 +65,8 @@ def prepare_pairs(
 
 
 def train(prepared: Prepared, work: Workspace, pack: RulePack = SUPPORT_PACK, dims: int = 256,
-          leakage_guard: bool = True, max_iter: int = 1000) -> Resources:
-    """Fit the encoder and the classifier, and write the vector tables.
+          leakage_guard: bool = True, max_iter: int = 1000, tfidf: bool = True) -> Resources:
+    """Fit the encoder and, if wanted, the classifier, and write the vector tables.
 
     With the guard no golden row is trained on or retrieved. Without it golden rows train the
     classifiers and stay in the knowledge base.
@@ -89,6 +89,6 @@ def train(prepared: Prepared, work: Workspace, pack: RulePack = SUPPORT_PACK, di
         kb=vectors,
         encoder=encoder,
         examples=examples.select("id", "label", "vec"),
-        tfidf=fit_classifier(examples.select("text", "label"), max_iter=max_iter, work=work),
+        tfidf=fit_classifier(examples.select("text", "label"), max_iter=max_iter, work=work) if tfidf else None,
         pack=pack,
     )

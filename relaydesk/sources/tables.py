@@ -28,6 +28,13 @@ def read_transcripts(spark: SparkSession, path: str, brand: str | None = None) -
     return df if brand is None else df.where(F.col("company") == brand)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows over all cores where the scan has fewer splits than there are cores, as with one small
+    file. A scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def read_labelled(spark: SparkSession, path: str, names: DataFrame, fmt: str = "parquet",
                   fallback: str | None = None) -> DataFrame:
     """(text, label) examples joined to their (label, label_name) dimension.
