@@ -28,10 +28,9 @@ def as_doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
 
-def _chunk_no(df: DataFrame, id_col: str) -> Column:
-    """Chunk number by hash; enough chunks to keep tasks busy, none above the row bound."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = df.agg(F.count("*")).scalar()
+def _chunk_no(id_col: str, n: Column, slots: int) -> Column:
+    """Chunk number by hash for ``n`` queries: no chunk above the row bound, and enough of them to
+    keep ``slots`` tasks busy."""
     chunks = F.greatest(
         F.ceil(n / F.lit(CHUNK_ROWS)),
         F.least(F.lit(slots).cast("bigint"), F.ceil(n / F.lit(MIN_CHUNK_ROWS))),
@@ -137,7 +136,9 @@ def nearest(
         F.ceil(b.agg(F.count("*")).scalar() / F.lit(BLOCK_ROWS)), F.lit(1).cast("bigint")
     )
     blocks = b.withColumn("block", F.pmod(F.xxhash64("bid"), n_blocks))
-    routed = q.withColumn("chunk", _chunk_no(q, "qid")).withColumn(
+    n_queries = q.agg(F.count("*")).scalar()
+    slots = queries.sparkSession.sparkContext.defaultParallelism
+    routed = q.withColumn("chunk", _chunk_no("qid", n_queries, slots)).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
     )
     hits = _search_blocks(routed, blocks, k, exclude_self)
@@ -244,28 +245,37 @@ def nearest_pruned(
                 ids = np.repeat(np.array([t[0] for t in table])[col], parts)
                 sub = np.concatenate([np.arange(x) for x in parts]) if len(parts) else []
                 yield pd.DataFrame({
-                    "chunk": pdf["chunk"].to_numpy()[row],
                     "block": [f"{c}:{s}" for c, s in zip(ids, sub)],
                     "qid": pdf["qid"].to_numpy()[row],
                     "qvec": pdf["qvec"].to_numpy()[row],
                 })
         return send
 
-    routed_schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("block", T.StringType()), *q.schema.fields,
-    ])
-    chunked = q.withColumn("chunk", _chunk_no(q, "qid"))
-    home = _best(
-        _search_blocks(chunked.mapInPandas(route(True), routed_schema), blocks, k, exclude_self), k
-    )
+    routed_schema = T.StructType([T.StructField("block", T.StringType()), *q.schema.fields])
+
+    def visit(df: DataFrame, home_only: bool) -> DataFrame:
+        """Search the blocks the queries are sent to, in chunks sized by each block's own queries."""
+        sent = df.mapInPandas(route(home_only), routed_schema)
+        sizes = sent.groupBy("block").agg(F.count("*").alias("n"))
+        chunked = sent.join(sizes, "block").select(
+            _chunk_no("qid", F.col("n"), 1).alias("chunk"), "block", "qid", "qvec"
+        )
+        return _search_blocks(chunked, blocks, k, exclude_self)
+
+    home = _best(visit(q, True), k)
     kth = home.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth"))
-    others = _search_blocks(
-        chunked.join(kth, "qid", "left").mapInPandas(route(False), routed_schema),
-        blocks, k, exclude_self,
-    )
+    others = visit(q.join(kth, "qid", "left"), False)
     return _named(_best(home.select("qid", "bid", "sim").unionByName(others), k), query_id, base_id)
 
 
+def nearest_sized(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id",
+                  base_id: str = "id", vec: str = "vec", exclude_self: bool = False) -> DataFrame:
+    """:func:`nearest` for a base of a few blocks, :func:`nearest_pruned` beyond. The base should
+    be a written table, whose count is read from its footers."""
+    search = nearest if base.count() <= 4 * BLOCK_ROWS else nearest_pruned
+    return search(queries, base, k, query_id, base_id, vec, exclude_self)
+
+
 def one_query_top_k(base: DataFrame, query_vec: list[float], k: int, base_id: str = "id", vec: str = "vec") -> DataFrame:
     """The ``k`` most similar base rows to one query vector."""
     q = F.array(*[F.lit(float(x)) for x in query_vec])

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from ..fixed_values import CONFIDENCE_THRESHOLD
-from ..operators.neighbours import nearest
+from ..operators.neighbours import nearest_sized
 from ..rules import SUPPORT_PACK, RulePack
 
 
@@ -24,7 +24,7 @@ class TriageConfig:
     top_k: int = 3
     exclude_self: bool = True
     pick: str = "xxhash64"
-    search: Callable = nearest
+    search: Callable = nearest_sized
 
     def parity(self) -> "TriageConfig":
         """Let a message find itself among the known cases."""
