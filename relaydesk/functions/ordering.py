@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 WINDOW_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -24,16 +24,18 @@ def pick_index(id_col: Column, n, method: str = "xxhash64") -> Column:
 
 def top_n_per_group(
     df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank",
-    salts: int = 64,
+    salts: int = 64, salt_on: list[str] | None = None,
 ) -> DataFrame:
     """First ``n`` rows of each group, ranked from 1.
 
     Up to the window limit Spark keeps the first ``n`` of each group on the map side, so a
     hot group shuffles at most ``n`` rows per task. Beyond it the groups are cut in ``salts``
-    first, so no task ever sorts a whole hot group.
+    first by the hash of ``salt_on`` (every plain column unless given), so no task ever sorts a
+    whole hot group.
     """
     if n > WINDOW_LIMIT:
-        salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+        plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+        salt = F.pmod(F.xxhash64(*(salt_on or plain)), F.lit(salts))
         inner = Window.partitionBy(*keys, "__salt").orderBy(*order)
         df = (
             df.withColumn("__salt", salt)

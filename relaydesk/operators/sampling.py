@@ -40,7 +40,8 @@ def golden_sample(
         seeded_key(F.col(order_key), seed, method).alias("__key"),
     )
     cut = top_n_per_group(
-        keyed, [stratum, "__hard"], [F.col("__key"), F.col(order_key)], max(most, 1), "__r"
+        keyed, [stratum, "__hard"], [F.col("__key"), F.col(order_key)], max(most, 1), "__r",
+        salt_on=[order_key],
     ).join(strata, stratum)
 
     quota = F.lit(base) + (F.col("__stratum_no") <= extra).cast("int")
@@ -83,7 +84,7 @@ def judge_subset(
     """
     order = [F.col("__key"), F.col(id_col)]
     keyed = golden.withColumn("__key", seeded_key(F.col(id_col), seed, method))
-    ranked = top_n_per_group(keyed, [stratum], order, n, "__r")
+    ranked = top_n_per_group(keyed, [stratum], order, n, "__r", salt_on=[id_col])
     n_strata = F.max("__stratum_no").over(Window.partitionBy())
     return (
         ranked.withColumn("__stratum_no", F.dense_rank().over(Window.orderBy(stratum)))
