@@ -58,10 +58,9 @@ def _search_blocks(routed: DataFrame, blocks: DataFrame, k: int, exclude_self: b
         import numpy as np
         import pandas as pd
 
-        empty = pd.DataFrame({"qid": left["qid"].iloc[:0], "bid": right["bid"].iloc[:0],
-                              "sim": np.zeros(0)})
         if len(left) == 0 or len(right) == 0:
-            return empty
+            none = np.empty(0, dtype=object)
+            return pd.DataFrame({"qid": none, "bid": none, "sim": np.zeros(0)})
 
         def unit(col):
             m = np.vstack(col.to_numpy()).astype(np.float64)
@@ -189,7 +188,8 @@ def nearest_pruned(
             angle = np.arccos(np.clip(sims[np.arange(len(cell)), cell], -1.0, 1.0))
             zero = n == 0
             cell[zero], angle[zero] = -1, 0.0
-            yield pd.DataFrame({"bid": pdf["bid"], "bvec": pdf["bvec"], "cell": cell, "angle": angle})
+            yield pd.DataFrame({"bid": pdf["bid"].to_numpy(), "bvec": pdf["bvec"].to_numpy(),
+                                "cell": cell, "angle": angle})
 
     cell_schema = T.StructType([*b.schema.fields, T.StructField("cell", T.LongType()),
                                 T.StructField("angle", T.DoubleType())])
@@ -240,12 +240,14 @@ def nearest_pruned(
                 else:
                     chosen = (bound >= pdf["kth"].fillna(-2.0).to_numpy()[:, None] - eps) & ~home
                 row, col = np.nonzero(chosen)
+                if len(row) == 0:
+                    continue
                 parts = np.array([t[3] for t in table])[col]
                 row = np.repeat(row, parts)
                 ids = np.repeat(np.array([t[0] for t in table])[col], parts)
-                sub = np.concatenate([np.arange(x) for x in parts]) if len(parts) else []
+                sub = np.concatenate([np.arange(x) for x in parts])
                 yield pd.DataFrame({
-                    "block": [f"{c}:{s}" for c, s in zip(ids, sub)],
+                    "block": np.array([f"{c}:{s}" for c, s in zip(ids, sub)], dtype=object),
                     "qid": pdf["qid"].to_numpy()[row],
                     "qvec": pdf["qvec"].to_numpy()[row],
                 })

@@ -64,6 +64,16 @@ def test_more_neighbours_than_rows(spark):
     assert {q: len(v) for q, v in got.items()} == {0: 3, 1: 3, 2: 3}
 
 
+def test_string_ids(spark, points):
+    m, _ = points
+    base = table(spark, m[:60]).withColumn("id", F.format_string("r%03d", "id"))
+    queries = base.withColumnRenamed("id", "query_id")
+    want = {f"r{q:03d}": [f"r{i:03d}" for i in v] for q, v in brute(m[:60], m[:60], 3, True).items()}
+    assert found(nb.nearest(queries, base, 3, exclude_self=True)) == want
+    assert found(nb.nearest_pruned(queries, base, 3, exclude_self=True, pivots=4, block_rows=10)) == want
+    assert found(nb.nearest_sized(queries, base, 3, exclude_self=True)) == want
+
+
 def test_one_query(spark, points):
     m, _ = points
     got = [r["id"] for r in nb.one_query_top_k(table(spark, m), list(m[0]), 5).collect()]
