@@ -51,13 +51,13 @@ SOURCE_MAP = tuple(
 ) + (("src_retired", "connectivity"),)
 
 
-KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; the two text tables are spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, *KEYS[name]) if name in KEYS else df
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with their long texts, over all cores."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(i == 0, "Customer: @help @desk  ").when(i % 2 == 0, "Customer: ").otherwise("Support: "), x
         ),
     )
-    return read(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("lang").alias("company"),
         F.concat(F.when(F.col("lang") == "en", "ticket opened\n").otherwise(""),
                  F.array_join(line, "\n")).alias("conversation"),
@@ -147,6 +147,6 @@ def language_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("letters").alias("agent_name"), second.alias("pred")),
         F.struct(F.lit("constant").alias("agent_name"), F.lit("en").alias("pred")),
     )
-    return read(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.col("lang").alias("truth"), F.explode(guesses).alias("g")
     ).select("doc_id", "truth", "g.agent_name", "g.pred")

@@ -20,7 +20,7 @@ from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming import live
 from .inputs import (
-    PACK, SOURCE_MAP, labelled_docs, language_guesses, messages, pairs, read, reply_pairs, turns, vectors,
+    PACK, SOURCE_MAP, documents, labelled_docs, language_guesses, messages, pairs, read, reply_pairs, turns, vectors,
 )
 from .inputs import transcripts as raw_transcripts
 
@@ -123,7 +123,7 @@ def keyword_label_support(spark, d):
 
 @query
 def keyword_matches(spark, d):
-    hits = intents.keyword_matches(read(spark, d, "documents"), "text", PACK, ["doc_id"])
+    hits = intents.keyword_matches(documents(spark, d), "text", PACK, ["doc_id"])
     return hits.groupBy("intent", "kw").agg(F.count("*").alias("n_docs"))
 
 
@@ -169,7 +169,7 @@ def train_union(spark, d):
 # -- escalation ------------------------------------------------------------------
 
 def _documents_with_intent(spark, d):
-    return intents.label_intents(read(spark, d, "documents"), "text", PACK)
+    return intents.label_intents(documents(spark, d), "text", PACK)
 
 
 def _flat(df, *keys):
@@ -189,13 +189,13 @@ def escalation_factors(spark, d):
 
 @query
 def escalation_support(spark, d):
-    docs = intents.label_intents(read(spark, d, "documents"), "text", SUPPORT_PACK)
+    docs = intents.label_intents(documents(spark, d), "text", SUPPORT_PACK)
     return _flat(escalation.decide_by_factors(docs, SUPPORT_PACK, "text"), "doc_id")
 
 
 @query
 def matched_patterns(spark, d):
-    docs = read(spark, d, "documents")
+    docs = documents(spark, d)
     return docs.select("doc_id", *[
         F.array_join(escalation.matched_patterns(F.col("text"), f.patterns), " ; ").alias(f.name.lower())
         for f in PACK.factors
@@ -204,7 +204,7 @@ def matched_patterns(spark, d):
 
 @query
 def keyword_escalation(spark, d):
-    return _flat(escalation.decide_by_keywords(read(spark, d, "documents"), PACK, "text"), "doc_id")
+    return _flat(escalation.decide_by_keywords(documents(spark, d), PACK, "text"), "doc_id")
 
 
 @query
@@ -311,7 +311,7 @@ def centroids(spark, d):
         "label", "dim", F.round("value", 4).alias("value"))
 
 
-def _knn(spark, d, search=neighbours.nearest, **kw):
+def _knn(spark, d, search=neighbours.nearest_sized, **kw):
     v = vectors(spark, d)
     return search(v.withColumnRenamed("id", "query_id"), v, 5, exclude_self=True, **kw)
 
@@ -412,7 +412,7 @@ def report(spark, d):
 
 
 def _decisions(spark, d):
-    docs = read(spark, d, "documents")
+    docs = documents(spark, d)
     decided = escalation.decide_by_keywords(docs, PACK, "text").select(
         "doc_id", F.col("escalation.decision").alias("pred"))
     truth = read(spark, d, "labels").select(
@@ -490,7 +490,7 @@ def canned(spark, d):
 @query
 def issue_types(spark, d):
     t = replies.issue_type(F.col("text"), PACK_ISSUES)
-    return read(spark, d, "documents").select("doc_id", t.alias("issue_type"))
+    return documents(spark, d).select("doc_id", t.alias("issue_type"))
 
 
 PACK_ISSUES = replace(PACK, issue_types=(
@@ -613,7 +613,7 @@ def token_overlap(spark, d):
 def scalar_text(spark, d):
     t = F.col("text")
     words = tx.tokens(t)
-    return read(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id",
         F.md5(F.lower(t)).alias("lower_md5"),
         F.md5(tx.clean_message(F.concat(F.lit("@a  @b \n"), t, F.lit(" \n")))).alias("clean_md5"),
@@ -633,7 +633,7 @@ def scalar_text(spark, d):
 @query
 def tfidf_terms(spark, d):
     """The ten heaviest terms of every language by mean TF-IDF weight."""
-    docs = read(spark, d, "documents").select("lang", "text")
+    docs = documents(spark, d).select("lang", "text")
     model = textmodel.fit_tfidf(docs.select("text"))
     return textmodel.heaviest_terms(model, docs, "lang", 10)
 
@@ -648,15 +648,15 @@ def kb_index(spark, d):
 @query
 def text_retrieval(spark, d):
     """Held-out benchmark passages against all documents."""
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     encoder = textmodel.fit_encoder(docs)
-    return neighbours.nearest(textmodel.encode(items, encoder, "text"), textmodel.encode(docs, encoder, "text"), 3)
+    return neighbours.nearest_sized(textmodel.encode(items, encoder, "text"), textmodel.encode(docs, encoder, "text"), 3)
 
 
 @query
 def tfidf_classify(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    docs = documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     model = textmodel.fit_classifier(docs.select("text", "label"), max_iter=MAX_ITER, work=Workspace(spark))
     return textmodel.classify_tfidf(docs, model, "text").select("doc_id", "label", "intent", "intent_confidence")
 
@@ -752,7 +752,7 @@ def vectors_roundtrip(spark, d):
 @query
 def model_roundtrip(spark, d):
     path = Workspace(spark).path("encoder")
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     tables.save_model(textmodel.fit_encoder(docs), path)
     return textmodel.encode(docs, tables.load_model(path), "text").select("doc_id", F.size("vec").alias("dims"))
 

@@ -19,7 +19,7 @@ from ..functions.vectors import cosine
 BLOCK_ROWS = 16_384
 CHUNK_ROWS = 16_384
 MIN_CHUNK_ROWS = 256
-MAX_PIVOTS = 256
+MAX_PIVOTS = 512
 SIM_DIGITS = 9  # similarities closer than this count as ties and go to the lower id
 EPS = 1e-6
 
@@ -157,7 +157,7 @@ def nearest_pruned(
 ) -> DataFrame:
     """As :func:`nearest`, visiting only cells that can hold a neighbour. Same result.
 
-    At most 256 pivots are read by the driver; they and the per-cell sizes and radii are the only
+    At most 512 pivots are read by the driver; they and the per-cell sizes and radii are the only
     data that leave the executors. A cell that holds most of the base is cut into blocks by id.
     Zero vectors form their own cell, whose similarity to anything is 0.
     """
@@ -364,7 +364,7 @@ def classify_blend(
     label: str = "label",
     vec: str = "vec",
     exclude_self: bool = True,
-    search=nearest,
+    search=nearest_sized,
 ) -> DataFrame:
     """Adds intent, intent_confidence and intent_all_scores to ``queries`` from (id, label, vec) examples."""
     near = search(queries, examples, k, query_id, base_id, vec, exclude_self)
@@ -401,7 +401,7 @@ def retrieve_cases(
     query_id: str = "query_id",
     vec: str = "vec",
     exclude_self: bool = True,
-    search=nearest,
+    search=nearest_sized,
 ) -> DataFrame:
     """(query_id, retrieved_cases): the ``top_k`` cases, most similar first.
 

@@ -96,33 +96,41 @@ def first_pairs_from_turns(
     turns: DataFrame,
     min_customer_len: int = 20,
     min_support_len: int = 15,
-    salts: int = 16,
+    stretch: int = 10_000,
 ) -> DataFrame:
-    """The same pairs from a turn table (conversation_id, pos, role, text).
+    """The same pairs from a turn table (conversation_id, pos, role, text), ``pos`` counting turns.
 
-    Only aggregations combined on the map side and a salted join, so a conversation with a
-    very large number of turns is never gathered into one task.
+    Only aggregations combined on the map side, and a join on stretches of turns, so that a
+    conversation with a very large number of turns is never gathered into one task. A usual
+    conversation is one stretch.
     """
     useful = turns.where(F.col("role").isin("customer", "support"))
     openings = (
         useful.groupBy("conversation_id")
         .agg(
             F.min(F.when(F.col("role") == "customer", F.col("pos"))).alias("asked_at"),
+            F.max("pos").alias("ends_at"),
             F.count("*").cast("int").alias("num_turns"),
         )
         .where((F.col("num_turns") >= 2) & F.col("asked_at").isNotNull())
     )
-    spread = openings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = useful.withColumn("salt", F.pmod(F.hash("pos"), F.lit(salts)))
+
+    def stretch_of(c):
+        return F.floor(F.col(c) / F.lit(stretch))
+
+    spread = openings.withColumn(
+        "part", F.explode(F.sequence(stretch_of("asked_at"), stretch_of("ends_at")))
+    ).drop("ends_at")
+    parted = useful.withColumn("part", stretch_of("pos"))
     asked = F.when(F.col("role") == "customer", F.col("text"))
     answered_at = F.when(F.col("role") == "support", F.col("pos"))
     parts = (
-        salted.join(spread, ["conversation_id", "salt"])
+        parted.join(spread, ["conversation_id", "part"])
         .where(
             ((F.col("role") == "customer") & (F.col("pos") == F.col("asked_at")))
             | ((F.col("role") == "support") & (F.col("pos") > F.col("asked_at")))
         )
-        .groupBy("conversation_id", "salt")
+        .groupBy("conversation_id", "part")
         .agg(
             F.first("num_turns").alias("num_turns"),
             F.max(asked).alias("asked"),

@@ -36,10 +36,12 @@ def evaluate_all(golden: DataFrame, resources: Resources, work: Workspace,
     if parity:
         configs = tuple(c.parity() for c in configs)
     queries = work.stage("query_vectors", vectorise(golden, resources, "id", "customer_tweet"))
-    cases = work.stage("retrieved", with_cases(queries, resources, configs[0]))
-    predictions = None
+    cases, predictions = {}, None
     for config in configs:
-        part = triage(queries, config, resources, cases)
+        key = (config.top_k, config.exclude_self)
+        if key not in cases:
+            cases[key] = work.stage(f"retrieved_{len(cases)}", with_cases(queries, resources, config))
+        part = triage(queries, config, resources, cases[key])
         predictions = part if predictions is None else predictions.unionByName(part)
     predictions = work.stage("predictions", predictions)
     rows = aligned(predictions, golden)

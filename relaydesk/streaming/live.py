@@ -22,13 +22,17 @@ def triage_stream(
     """Run the batch triage on every micro-batch and write it to ``out``.
 
     Neighbour ranking needs whole batches, so the plan runs inside ``foreachBatch``. Each batch
-    overwrites its own folder, which makes a repeated batch harmless.
+    overwrites its own folder, which makes a repeated batch harmless; its vectors are kept while
+    the searches read them.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        queries = vectorise(batch, resources, id_col, text_col)
-        predictions = triage(queries, config, resources)
-        predictions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        queries = vectorise(batch, resources, id_col, text_col).persist()
+        try:
+            predictions = triage(queries, config, resources)
+            predictions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            queries.unpersist()
 
     return (
         messages.writeStream.foreachBatch(score)
