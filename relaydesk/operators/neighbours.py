@@ -28,12 +28,12 @@ def as_doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
 
-def _chunk_no(id_col: str, n: Column, slots: int) -> Column:
-    """Chunk number by hash for ``n`` queries: no chunk above the row bound, and enough of them to
-    keep ``slots`` tasks busy."""
+def _chunk_no(id_col: str, n: Column, at_least: Column) -> Column:
+    """Chunk number by hash for ``n`` queries: no chunk above the row bound, and ``at_least`` so
+    many chunks while they stay worth a task."""
     chunks = F.greatest(
         F.ceil(n / F.lit(CHUNK_ROWS)),
-        F.least(F.lit(slots).cast("bigint"), F.ceil(n / F.lit(MIN_CHUNK_ROWS))),
+        F.least(at_least, F.ceil(n / F.lit(MIN_CHUNK_ROWS))),
         F.lit(1).cast("bigint"),
     )
     return F.pmod(F.xxhash64(id_col), chunks)
@@ -52,7 +52,8 @@ def _search_blocks(routed: DataFrame, blocks: DataFrame, k: int, exclude_self: b
     spread = blocks.join(wanted, "block").select(
         F.col("chunk").alias("to_chunk"), F.col("block").alias("to_block"), "bid", "bvec"
     )
-    digits = SIM_DIGITS
+    digits, unit_in_last = SIM_DIGITS, 10.0 ** -SIM_DIGITS
+    tile_queries, tile_rows = 512, 2048  # one tile of similarities stays in cache
 
     def search(left, right):
         import numpy as np
@@ -76,27 +77,39 @@ def _search_blocks(routed: DataFrame, blocks: DataFrame, k: int, exclude_self: b
             position = {b: i for i, b in enumerate(base_ids)}
             own = np.array([position.get(q, -1) for q in query_ids])
         take = min(k, len(base_ids))
-        step = max(1, 8_000_000 // max(len(base_ids), 1))
         out_q, out_b, out_s = [], [], []
-        for lo in range(0, len(query_ids), step):
-            sims = np.round(queries[lo:lo + step] @ base.T, digits)
-            if own is not None:
-                rows = np.nonzero(own[lo:lo + step] >= 0)[0]
-                sims[rows, own[lo:lo + step][rows]] = -np.inf
-            if take < sims.shape[1]:
-                # the k-th value bounds the answer; ties at the bound are settled by id
-                bound = -np.partition(-sims, take - 1, axis=1)[:, take - 1:take]
-            else:
-                bound = np.full((sims.shape[0], 1), -np.inf)
-            row, col = np.nonzero((sims >= bound) & np.isfinite(sims))
-            vals = sims[row, col]
-            order = np.lexsort((col, -vals, row))
-            row, col, vals = row[order], col[order], vals[order]
-            first = np.searchsorted(row, row, side="left")
-            keep = (np.arange(len(row)) - first) < take
-            out_q.append(query_ids[lo + row[keep]])
-            out_b.append(base_ids[col[keep]])
-            out_s.append(vals[keep])
+        for start in range(0, len(query_ids), tile_queries):
+            rows = queries[start:start + tile_queries]
+            # base rows come in id order, so a later tile has to beat the k-th value outright
+            kth = np.full(len(rows), -np.inf)
+            row = col = np.empty(0, dtype=np.int64)
+            val = np.empty(0)
+            for lo in range(0, len(base), tile_rows):
+                sims = rows @ base[lo:lo + tile_rows].T
+                if own is not None:
+                    mine = own[start:start + tile_queries] - lo
+                    hit = np.nonzero((mine >= 0) & (mine < sims.shape[1]))[0]
+                    sims[hit, mine[hit]] = -np.inf
+                bar = kth + 0.499 * unit_in_last
+                if lo == 0 and take < sims.shape[1]:
+                    bar = np.partition(sims, -take, axis=1)[:, -take] - unit_in_last
+                better = np.flatnonzero(sims > bar[:, None])
+                if len(better) == 0:
+                    continue
+                r, c = np.divmod(better, sims.shape[1])
+                row = np.concatenate([row, r])
+                val = np.concatenate([val, np.round(sims[r, c], digits)])
+                col = np.concatenate([col, c + lo])
+                order = np.lexsort((col, -val, row))
+                row, col, val = row[order], col[order], val[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+                last = place == take - 1
+                kth[row[last]] = val[last]
+                keep = place < take
+                row, col, val = row[keep], col[keep], val[keep]
+            out_q.append(query_ids[start + row])
+            out_b.append(base_ids[col])
+            out_s.append(val)
         return pd.DataFrame({"qid": np.concatenate(out_q), "bid": np.concatenate(out_b),
                              "sim": np.concatenate(out_s)})
 
@@ -137,7 +150,9 @@ def nearest(
     blocks = b.withColumn("block", F.pmod(F.xxhash64("bid"), n_blocks))
     n_queries = q.agg(F.count("*")).scalar()
     slots = queries.sparkSession.sparkContext.defaultParallelism
-    routed = q.withColumn("chunk", _chunk_no("qid", n_queries, slots)).withColumn(
+    # every chunk meets every block: together they should keep all slots busy
+    enough = F.ceil(F.lit(slots) / n_blocks)
+    routed = q.withColumn("chunk", _chunk_no("qid", n_queries, enough)).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
     )
     hits = _search_blocks(routed, blocks, k, exclude_self)
@@ -260,7 +275,7 @@ def nearest_pruned(
         sent = df.mapInPandas(route(home_only), routed_schema)
         sizes = sent.groupBy("block").agg(F.count("*").alias("n"))
         chunked = sent.join(sizes, "block").select(
-            _chunk_no("qid", F.col("n"), 1).alias("chunk"), "block", "qid", "qvec"
+            _chunk_no("qid", F.col("n"), F.lit(1).cast("bigint")).alias("chunk"), "block", "qid", "qvec"
         )
         return _search_blocks(chunked, blocks, k, exclude_self)
 
