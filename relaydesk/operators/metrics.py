@@ -158,6 +158,7 @@ def compare_agents(long: DataFrame, agents: list[str]) -> DataFrame:
     """One row per metric, one column per agent, and the best agent (the earlier one on a tie)."""
     place = F.array_position(F.array(*[F.lit(a) for a in agents]), F.col("agent"))
     good = F.when(F.col("metric").isin(list(LOWER_IS_BETTER)), -F.col("value")).otherwise(F.col("value"))
-    table = long.groupBy("metric").pivot("agent", agents).agg(F.first("value"))
-    best = long.groupBy("metric").agg(F.max_by("agent", F.struct(good, -place)).alias("best_agent"))
-    return table.join(best, "metric")
+    return long.groupBy("metric").agg(
+        *[F.max(F.when(F.col("agent") == a, F.col("value"))).alias(a) for a in agents],
+        F.max_by("agent", F.struct(good, -place)).alias("best_agent"),
+    )

@@ -65,8 +65,8 @@ def overlap_scores(
     """(id, rouge1, rouge2, rougeL, unigram_bleu), each rounded to 4.
 
     Every n-gram of a pair becomes one row with the number of times each side has it, which
-    combines before anything is shuffled: the rows are first placed by id and both groupings
-    reuse that placement. ``stem`` maps a token array to a stemmed one.
+    combines before anything is shuffled: the rows are first placed by id, and both groupings and the
+    join with the subsequence scores reuse that placement. ``stem`` maps a token array to a stemmed one.
     """
     stem = stem or (lambda c: c)
     base = pairs.select(
@@ -115,10 +115,8 @@ def overlap_scores(
     )
     if not rouge_l:
         return out
-    longest = base.select(
-        F.col("__id").alias(id_col), stem(word_tokens(F.col("g"))).alias("hw"), stem(word_tokens(F.col("r"))).alias("rw")
-    ).select(
-        id_col,
+    longest = placed.select(
+        F.col("__id").alias(id_col),
         F.round(f1(lcs_length(F.col("hw"), F.col("rw")), F.size("hw"), F.size("rw")), 4).alias("rougeL"),
     )
     return out.join(longest, id_col).select(id_col, "rouge1", "rouge2", "rougeL", "unigram_bleu")

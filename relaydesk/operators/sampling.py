@@ -122,7 +122,7 @@ def stratified_split(
     )
     counts = keyed.groupBy(label, "__bucket").agg(F.count("*").alias("__n"))
     per_label = counts.groupBy(label).agg(F.sum("__n").alias("__total"))
-    everything = per_label.agg(F.sum("__total")).scalar()
+    everything = F.sum("__total").over(Window.partitionBy())
     share = F.col("__total") * F.lit(float(test_share))
     by_remainder = Window.orderBy(F.desc(share - F.floor(share)), label)
     quotas = per_label.select(
@@ -130,10 +130,11 @@ def stratified_split(
         F.floor(share).alias("__floor"),
         F.row_number().over(by_remainder).alias("__turn"),
         F.sum(F.floor(share)).over(Window.partitionBy()).alias("__floors"),
+        F.ceil(everything * F.lit(float(test_share))).alias("__wanted"),
     ).select(
         label,
         (F.col("__floor")
-         + (F.col("__turn") <= F.ceil(everything * F.lit(float(test_share))) - F.col("__floors")).cast("int")
+         + (F.col("__turn") <= F.col("__wanted") - F.col("__floors")).cast("int")
          ).alias("__quota"),
     )
     running = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
