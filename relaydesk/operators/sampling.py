@@ -63,12 +63,17 @@ def golden_sample(
     return (
         numbered.withColumn("golden_id", F.format_string("GS-%03d", "__no"))
         .withColumn("sampling_stratum", F.col(stratum))
-        .orderBy(seeded_key(F.col("golden_id"), seed, method), "golden_id")
-        .limit(target)
+        .transform(first_shuffled, target, "golden_id", seed, method)
         .drop("__hard", "__key", "__r", "__stratum_no", "__quota", "__turn", "__pos", "__no")
     )
 
 
+def first_shuffled(rows: DataFrame, n: int, id_col: str = "golden_id", seed: int = 42,
+                   method: str = "xxhash64") -> DataFrame:
+    """The first ``n`` rows in the seeded order of the ids: a mix of all strata."""
+    return rows.orderBy(seeded_key(F.col(id_col), seed, method), id_col).limit(n)
+
+
 def judge_subset(
     golden: DataFrame,
     n: int = 50,

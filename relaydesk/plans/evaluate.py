@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import metrics, overlap, rubric
 from ..operators.neighbours import pair_similarity
+from ..operators.sampling import first_shuffled
 from ..operators.textmodel import encode
 
 HEADLINE = ["intent_accuracy", "intent_macro_f1", "escalation_accuracy", "escalation_f1",
@@ -101,7 +102,34 @@ def agent_documents(rows: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, max_samples: int | None = None, content: str | None = None) -> DataFrame:
-    """Rubric scores of aligned predictions, the first ``max_samples`` by golden id if given."""
+    """Rubric scores of aligned predictions, of the first ``max_samples`` in seeded order if given."""
     if max_samples is not None:
-        rows = rows.orderBy("golden_id").limit(max_samples)
+        rows = first_shuffled(rows, max_samples)
     return rubric.judge(rows, "response", "gold_human_reply", "escalation_decision", content)
+
+
+def summary_document(long: DataFrame, golden: DataFrame, knowledge_base: DataFrame, seconds: float) -> DataFrame:
+    """One nested row: sizes, run time and the headline metrics of every agent."""
+    per_agent = long.groupBy("agent").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics")
+    )
+    return per_agent.agg(
+        F.lit(round(seconds, 1)).alias("pipeline_time_seconds"),
+        F.map_from_entries(F.collect_list(F.struct("agent", "metrics"))).alias("agents"),
+    ).select(
+        "pipeline_time_seconds",
+        golden.agg(F.count("*")).scalar().alias("golden_set_size"),
+        knowledge_base.agg(F.count("*")).scalar().alias("knowledge_base_size"),
+        "agents",
+    )
+
+
+def judge_document(scores: DataFrame) -> DataFrame:
+    """One nested row: scores per dimension, pass count and rate, and how rows were judged."""
+    per_dim = rubric.judge_summary(scores).agg(
+        F.map_from_entries(F.collect_list(F.struct("dim", F.struct("mean", "std", "min", "max"))))
+    )
+    methods = scores.agg(F.array_join(F.array_sort(F.collect_set("judge_method")), "+"))
+    return rubric.pass_rate(scores).select(
+        "*", per_dim.scalar().alias("aggregate_scores"), methods.scalar().alias("judge_method")
+    )

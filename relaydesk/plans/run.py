@@ -7,18 +7,21 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass, replace
+import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import datasets, metrics, rubric
-from ..operators.sampling import class_samples, stratified_split
+from ..operators.sampling import class_samples, first_shuffled, stratified_split
 from ..operators.textmodel import classify_tfidf, fit_classifier
 from ..rules import SUPPORT_PACK, RulePack
 from ..sources import tables
 from ..sources.workspace import Workspace
 from .configs import CONFIGS, Resources, TriageConfig
-from .evaluate import agent_documents, agent_metrics, aligned, benchmark_long, judged
+from .evaluate import (
+    agent_documents, agent_metrics, aligned, benchmark_long, judge_document, judged, summary_document,
+)
 from .prepare import Prepared, prepare, prepare_pairs, train
 from .triage import triage, vectorise, with_cases
 
@@ -84,7 +87,7 @@ def run_tables(prepared: Prepared, work: Workspace, pack: RulePack = SUPPORT_PAC
     """All result tables of a run over prepared data."""
     golden = prepared.golden_set
     if quick:
-        golden = work.stage("golden_quick", golden.orderBy("golden_id").limit(50))
+        golden = work.stage("golden_quick", first_shuffled(golden, 50))
     resources = train(prepared, work, pack, leakage_guard=not parity, max_iter=max_iter)
     done = evaluate_all(golden, resources, work, parity=parity)
     long = work.stage("benchmark_long", benchmark_long(done.wide))
@@ -103,6 +106,7 @@ def run_tables(prepared: Prepared, work: Workspace, pack: RulePack = SUPPORT_PAC
         out["judge_scores"] = scores
         out["judge_summary"] = rubric.judge_summary(scores)
         out["pass_rate"] = rubric.pass_rate(scores)
+        out["judge_document"] = judge_document(scores)
         if human_scores is not None:
             out["agreement"] = rubric.agreement(scores, human_scores, "golden_id")
     return out
@@ -124,6 +128,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--no-labelled", action="store_true")
     args = parser.parse_args(argv)
 
+    started = time.time()
     spark = SparkSession.builder.appName("relaydesk").getOrCreate()
     work = Workspace(spark)
     transcripts = tables.read_transcripts(spark, args.transcripts)
@@ -144,3 +149,7 @@ def main(argv: list[str] | None = None) -> None:
         results["cross_domain_report"] = cross_domain(examples, mapping, "example_id", work)
     for name, table in results.items():
         tables.write_json(table, f"{args.out}/{name}")
+    tables.write_json(
+        summary_document(results["benchmark"], prepared.golden_set, prepared.knowledge_base, time.time() - started),
+        f"{args.out}/benchmark_summary",
+    )

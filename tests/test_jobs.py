@@ -257,3 +257,8 @@ def test_main(spark, work, transcripts):
     assert report.where("label = 'accuracy'").first()["f1"] == 1.0
     assert spark.read.json(work.path("results/predictions")).count() == 150
     assert spark.read.json(work.path("results/coverage")).first()["matched_intents"] == 2
+    summary = spark.read.json(work.path("results/benchmark_summary")).first()
+    assert summary["golden_set_size"] > 100 and summary["agents"]["trivial_baseline"]["false_auto_handle_rate"] == 1.0
+    judged = spark.read.json(work.path("results/judge_document")).first()
+    assert judged["num_evaluated"] == 50 and judged["judge_method"] == "heuristic"
+    assert judged["aggregate_scores"]["actionability"]["max"] <= 5
