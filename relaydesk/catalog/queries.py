@@ -24,7 +24,7 @@ from .inputs import (
 )
 from .inputs import transcripts as raw_transcripts
 
-MAX_ITER = 60
+MAX_ITER = 60  # the library default is 1000
 REGISTRY = {}
 
 

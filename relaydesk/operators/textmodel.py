@@ -86,7 +86,7 @@ def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words:
 
 def fit_classifier(
     examples: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True,
-    c: float = 1.0, max_iter: int = 1000, work: Workspace | None = None, name: str = "term_vectors",
+    c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4, work: Workspace | None = None, name: str = "term_vectors",
 ) -> PipelineModel:
     """TF-IDF and multinomial logistic regression on (text, label).
 
@@ -99,7 +99,7 @@ def fit_classifier(
         vectors = work.stage(name, vectors)
     index = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(vectors)
     regression = LogisticRegression(
-        featuresCol="features", labelCol="__y", family="multinomial", maxIter=max_iter,
+        featuresCol="features", labelCol="__y", family="multinomial", maxIter=max_iter, tol=tol,
         regParam=1.0 / (c * vectors.count()), standardization=False,
         probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw",
     ).fit(index.transform(vectors).select("__y", "features"))
