@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules, topk, warc
+from . import mixing, pieces, quality_rules, suffixes, topk, warc
 from .common import read, workspace
 
 REGISTRY = {}
@@ -22,6 +22,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op1_suffix_dedup(spark, d):
+    return suffixes.digests(read(spark, d, "documents"), workspace(spark))
+
+
 @query
 def op2_pieces(spark, d):
     return pieces.digests(read(spark, d, "documents"), piece_model())
