@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules, suffixes, topk, warc
+from . import forest, language, mixing, pieces, quality_model, quality_rules, suffixes, topk, toxicity, warc
 from .common import read, workspace
 
 REGISTRY = {}
@@ -43,6 +43,29 @@ def op4_topk(spark, d):
     return topk.search(vectors, workspace(spark), 20, F.col("vec_id") % 20 == 0).withColumn("rank", F.col("rank").cast("int"))
 
 
+@query
+def op5_language(spark, d):
+    told = language.identify(language.document_rows(read(spark, d, "documents")), workspace(spark))
+    return told.select(F.col("id").alias("doc_id"), "declared", "language", "text_language", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
+@query
+def page_languages(spark, d):
+    """The same operator on pages, which have a markup language, an address and a host with its domain."""
+    told = language.identify(language.page_rows(read(spark, d, "pages")), workspace(spark), levels=("host", "domain"))
+    return told.select(F.col("id").alias("page_id"), "declared", "language", "text_language", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
+@query
+def op6_toxicity(spark, d):
+    return toxicity.score(read(spark, d, "documents"), read(spark, d, "labels"), workspace(spark))
+
+
+@query
+def op7_jaccard_join(spark, d):
+    return forest.join(read(spark, d, "documents"), workspace(spark)).drop("mark")
+
+
 @query
 def op8_warc(spark, d):
     manifest = warc.write(read(spark, d, "pages"), workspace(spark))
@@ -52,3 +75,8 @@ def op8_warc(spark, d):
 @query
 def op9_quality_rules(spark, d):
     return quality_rules.clean(read(spark, d, "documents")).drop("cleaned")
+
+
+@query
+def op10_quality_model(spark, d):
+    return quality_model.score(read(spark, d, "documents"), read(spark, d, "labels"), workspace(spark))
