@@ -62,11 +62,16 @@ class Trie:
 
     def possible(self, word: str) -> bool:
         """Whether a term within one edit can exist: one of its halves is then in the word unchanged."""
-        return (
-            any(word[:n] in heads for n, heads in self.heads.items())
-            or any(word[-n:] in tails for n, tails in self.tails.items())
-            or any(word[i:j] in parts for (i, j), parts in self.inner.items())
-        )
+        for n, heads in self.heads.items():
+            if word[:n] in heads:
+                return True
+        for n, tails in self.tails.items():
+            if word[-n:] in tails:
+                return True
+        for (i, j), parts in self.inner.items():
+            if word[i:j] in parts:
+                return True
+        return False
 
     def find(self, word: str) -> tuple[int, int] | None:
         """``(edits, term)`` of the closest term, the heaviest among equals: the automaton of the word, whose
@@ -97,16 +102,17 @@ class Matcher:
     """Matches of words, remembered."""
 
     def __init__(self, trie: Trie):
-        self.trie, self.known = trie, {}
+        self.trie, self.seen, self.known = trie, set(), {}
 
-    def __call__(self, word: str):
-        got = self.known.get(word, 0)
-        if got == 0:
-            if len(self.known) >= TABLE_ENTRIES:
-                self.known.clear()
-            got = self.trie.find(word) if 2 < len(word) < 64 and self.trie.possible(word) else None
-            self.known[word] = got
-        return got
+    def learn(self, words: set[str]) -> bool:
+        """Look at words not met before; whether any of the words has a match."""
+        if len(self.seen) > TABLE_ENTRIES:
+            self.seen, self.known = set(), {}
+        for w in words - self.seen:
+            if 2 < len(w) < 64 and self.trie.possible(w) and (got := self.trie.find(w)) is not None:
+                self.known[w] = got
+        self.seen |= words
+        return not self.known.keys().isdisjoint(words)
 
 
 def _quoted(text: str, start: int, end: int, reach: int = 120) -> bool:
@@ -122,13 +128,14 @@ def _quoted(text: str, start: int, end: int, reach: int = 120) -> bool:
 def hits(text: str, match: Matcher) -> tuple[int, list[dict]]:
     """Number of words, and for each match its word, term, edits and what its context says."""
     words = _WORD.findall(text.lower())
-    if not any(match(w) is not None for w in set(words)):
+    if not match.learn(set(words)):
         return len(words), []
     spans = list(_WORD.finditer(text))
     plain = [m.group().lower() for m in spans]
+    match.learn(set(plain))
     found = []
     for k, word in enumerate(plain):
-        got = match(word)
+        got = match.known.get(word)
         if got is not None:
             around = plain[max(0, k - WINDOW) : k] + plain[k + 1 : k + 1 + WINDOW]
             near = plain[max(0, k - 3) : k] + plain[k + 1 : k + 4]
@@ -154,10 +161,10 @@ def _row(n_words: int, found: list[dict], weights: np.ndarray) -> list[float]:
     return [np.log1p(abuse), np.log1p(near), np.log1p(quoted), np.log1p(100.0 * strong / max(n_words, 1)), np.log1p(len({h["term"] for h in found})), np.log1p(addressed)]
 
 
-def learn_lexicon(texts: DataFrame, share: float = 0.9, stem_share: float = 0.99, surprise: float = 36.0) -> list[tuple[str, bool, float]]:
+def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_share: float = 0.99, rate: float = 0.02) -> list[tuple[str, bool, float]]:
     """Terms ``(text, is stem, weight)`` from ``text, toxic``: of the texts they are in (each label weighed
-    alike) ``share`` or more are toxic, ``stem_share`` for a stem, and that is no chance: the likelihood
-    ratio statistic against the labels' own shares reaches ``surprise`` (36 is a chance of about 1e-8)."""
+    alike) ``share`` or more are toxic, ``rate`` of the toxic texts have it (words of one much copied text do not count as a vocabulary), ``stem_share`` for a stem, and that is no chance: the likelihood
+    ratio statistic against the labels' own shares is one that less than one of all counted terms reaches."""
 
     def kernel(batches):
         for batch in batches:
@@ -173,15 +180,16 @@ def learn_lexicon(texts: DataFrame, share: float = 0.9, stem_share: float = 0.99
             )
 
     sizes = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    counted = texts.select("text", F.col("toxic").cast("long")).mapInArrow(kernel, "term string, stem boolean, toxic bigint").groupBy("term", "stem").agg(
+    counted = work.stage("terms", texts.select("text", F.col("toxic").cast("long")).mapInArrow(kernel, "term string, stem boolean, toxic bigint").groupBy("term", "stem").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
-    )
+    ))
+    surprise = 2 * np.log(max(counted.count(), 2))
     bad, good = F.col("bad") / max(sizes[0], 1), (F.col("good") + 0.5) / max(sizes[1], 1)
     expected = max(sizes[0], 1) / max(sizes[0] + sizes[1], 1)
     both = F.col("bad") + F.col("good")
     part = lambda n, p: F.when(n > 0, n * F.ln(n / (both * p))).otherwise(F.lit(0.0))
     told = counted.withColumns({"share": bad / (bad + good), "surprise": 2 * (part(F.col("bad"), expected) + part(F.col("good"), max(1 - expected, 1e-9)))})
-    top = told.where((F.col("surprise") >= surprise) & (F.col("share") >= F.when(F.col("stem"), stem_share).otherwise(share)))
+    top = told.where((F.col("bad") >= rate * sizes[0]) & (F.col("surprise") >= float(surprise)) & (F.col("share") >= F.when(F.col("stem"), stem_share).otherwise(share)))
     rows = top.orderBy(F.desc("bad"), F.desc("share"), "term", "stem").limit(LEXICON_TERMS).collect()
     terms = [(r.term, r.stem, float(np.log(r.share / (1 - r.share) + 1))) for r in rows]
     stems = {t for t, s, _ in terms if s}
@@ -206,7 +214,7 @@ def score(docs: DataFrame, labels: DataFrame, work: Workspace, folds: int = 5, f
     sample = seeded_first(known.where("toxic = 1"), sample_rows, "doc_id", seed).union(seeded_first(known.where("toxic = 0"), sample_rows, "doc_id", seed))
     # at most 2 * sample_rows pairs of numbers, so small enough to send everywhere
     texts = work.stage("sample", docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
-    terms = learn_lexicon(texts)
+    terms = learn_lexicon(texts, work)
     weights = np.array([w for _, _, w in terms] or [0.0])
     trie = Trie(terms)
 
