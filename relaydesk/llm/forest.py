@@ -245,8 +245,9 @@ def join(docs: DataFrame, work: Workspace, threshold: float = THRESHOLD, words:
     inside = work.stage("members", loose.join(ones.drop("signature"), F.col("node") == F.col("row")).drop("node"))
     sizes = inside.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     # rows with equal id and text are one key here: any of their texts will do
+    # (members grow with the corpus, so the join is one of two shuffled sides at any size)
     texts = docs.join(
-        inside.select(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), "root", "row", "copies"),
+        inside.select(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), "root", "row", "copies").hint("merge"),
         docs.doc_id.eqNullSafe(F.col("key_id")) & (docs.mark == F.col("key_mark")),
     ).select("root", "row", "copies", "text")
 
