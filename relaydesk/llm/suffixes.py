@@ -241,10 +241,11 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- over a corpus ---------------------------------------------------------------
 
-def _candidates(docs: DataFrame, table: DataFrame, length: int) -> DataFrame:
+def _candidates(docs: DataFrame, table: DataFrame, work: Workspace, length: int) -> DataFrame:
     """Texts with an anchor whose hash occurs elsewhere, and those anchors: ``row, doc_id, mark, text, h, pn, g``."""
     seen = table.select("row", F.arrays_zip("h", "pn").alias("x")).select("row", F.explode("x").alias("x")).select("row", "x.h", "x.pn")
-    again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join below deals out both its sides and a hash with very many rows can be split
+    again = work.stage("again", seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     # identical rows have equal anchors: the first stands for them, and meets each of their texts below
     keys = table.groupBy(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark")).agg(F.min("row").alias("row"))
     found = seen.join(again, "h").groupBy("row").agg(F.collect_list(F.struct("pn", "h")).alias("x")).join(keys, "row")
@@ -421,12 +422,14 @@ def find_repeats(docs: DataFrame, work: Workspace, length: int = 200, gram: int
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     table = work.stage("anchors", _anchor_table(docs, length, gram).withColumn("row", F.monotonically_increasing_id()))
-    texts = work.stage("texts", _candidates(docs, table, length))
+    texts = work.stage("texts", _candidates(docs, table, work, length))
     occurrences = texts.select("row", F.explode(F.arrays_zip("pn", "h", "g")).alias("x")).select("row", "x.pn", "x.h", "x.g")
     regions = work.stage("regions", occurrences.groupBy("h", "g").agg(
         F.count("*").alias("copies"), F.min(F.struct("row", "pn")).alias("one")
     ))
-    lone = regions.groupBy("h").agg(F.count("*").alias("variants"), F.sum("copies").alias("copies")).where("variants = 1").select("h", "copies")
+    lone = work.stage("lone", regions.groupBy("h").agg(
+        F.count("*").alias("variants"), F.sum("copies").alias("copies")
+    ).where("variants = 1").select("h", "copies"))
     several = regions.join(lone.select("h"), "h", "left_anti")
     listed = several.groupBy(F.col("one.row").alias("row")).agg(
         F.collect_list(F.struct(F.col("one.pn").alias("pn"), "h", "g", "copies")).alias("x")
