@@ -103,7 +103,7 @@ def _text_scores(rows: DataFrame, table, columns: list[str]) -> DataFrame:
             for first, last, buf, at in text_pieces(batch.column(at_text)):
                 codes, row = _trigrams(buf, at)
                 n = last - first
-                sums = np.stack([np.bincount(row, weights=model[codes, k], minlength=n) for k in range(width)], 1)
+                sums = np.stack([np.bincount(row, weights=model[codes, k], minlength=n) for k in range(width)], 1).astype(np.float64)  # of no trigrams at all come whole numbers
                 grams = np.bincount(row, minlength=n)
                 part = [batch.column(c).slice(first, n) for c in columns]
                 scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
