@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..rules import SUPPORT_PACK, Factor
 from ..sources.tables import spread
@@ -71,10 +71,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turn_id(turn: str) -> Column:
+    """One number for a conversation and a turn of it, different for all turns below 2**32."""
+    return F.col("conv_id") * (1 << 32) + F.col(turn)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer turns as (id, text)."""
     return read(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"
+        turn_id("turn").alias("id"), "text"
     )
 
 
@@ -88,7 +93,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("at"), F.col("text").alias("first_support_reply")
     )
     return asked.join(answered, ["conv_id", "at"]).select(
-        (F.col("conv_id") * 100 + F.col("at")).alias("conversation_id"),
+        turn_id("at").alias("conversation_id"),
         "first_customer_msg",
         "first_support_reply",
         F.lit(2).alias("num_turns"),
@@ -101,7 +106,7 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = t.select("conv_id", "turn", F.col("text").alias("response"))
     later = t.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("reference"))
     return first.join(later, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        turn_id("turn").alias("id"),
         "response",
         "reference",
         F.when(F.col("turn") % 4 == 1, "ESCALATE").otherwise("AUTO_HANDLE").alias("decision"),

@@ -24,7 +24,6 @@ from .inputs import (
 )
 from .inputs import transcripts as raw_transcripts
 
-MAX_ITER = 60  # the library default is 1000
 REGISTRY = {}
 
 
@@ -161,8 +160,7 @@ def facet_search(spark, d):
 @query
 def train_union(spark, d):
     kb = transcripts.build_knowledge_base(pairs(spark, d))
-    golden = _golden_records(spark, d).where(F.col("difficulty_tag") == "multi_intent")
-    rows = intents.training_rows(kb, golden, PACK, min_confidence=0.4)
+    rows = intents.training_rows(kb, _golden_records(spark, d), PACK)
     return rows.select("id", "label", F.md5("text").alias("text_md5"))
 
 
@@ -214,8 +212,7 @@ def always_auto(spark, d):
 
 @query
 def majority(spark, d):
-    return datasets.majority_class(labelled_docs(spark, d).withColumn(
-        "words", F.least(F.size(tx.tokens(F.col("text"))), F.lit(40))), "words")
+    return datasets.majority_class(labelled_docs(spark, d), "label_name")
 
 
 # -- samples -----------------------------------------------------------------------
@@ -311,7 +308,7 @@ def centroids(spark, d):
         "label", "dim", F.round("value", 4).alias("value"))
 
 
-def _knn(spark, d, search=neighbours.nearest_sized, **kw):
+def _knn(spark, d, search=neighbours.nearest, **kw):
     v = vectors(spark, d)
     return search(v.withColumnRenamed("id", "query_id"), v, 5, exclude_self=True, **kw)
 
@@ -651,21 +648,20 @@ def text_retrieval(spark, d):
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     encoder = textmodel.fit_encoder(docs)
-    return neighbours.nearest_sized(textmodel.encode(items, encoder, "text"), textmodel.encode(docs, encoder, "text"), 3)
+    return neighbours.nearest(textmodel.encode(items, encoder, "text"), textmodel.encode(docs, encoder, "text"), 3)
 
 
 @query
 def tfidf_classify(spark, d):
     docs = documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
-    model = textmodel.fit_classifier(docs.select("text", "label"), max_iter=MAX_ITER, work=Workspace(spark))
+    model = textmodel.fit_classifier(docs.select("text", "label"), work=Workspace(spark))
     return textmodel.classify_tfidf(docs, model, "text").select("doc_id", "label", "intent", "intent_confidence")
 
 
 @query
 def cross_domain(spark, d):
     return run.cross_domain(
-        labelled_docs(spark, d), datasets.class_map_table(spark, SOURCE_MAP), "doc_id", Workspace(spark),
-        max_iter=MAX_ITER)
+        labelled_docs(spark, d), datasets.class_map_table(spark, SOURCE_MAP), "doc_id", Workspace(spark))
 
 
 def _prepared(spark, d):
@@ -698,14 +694,14 @@ def triage_records(spark, d):
 @query
 def three_configs(spark, d):
     prepared, work = _prepared(spark, d)
-    resources = prepare.train(prepared, work, PACK, max_iter=MAX_ITER)
+    resources = prepare.train(prepared, work, PACK)
     return run.evaluate_all(prepared.golden_set, resources, work).wide
 
 
 @query
 def full_run(spark, d):
     prepared, work = _prepared(spark, d)
-    results = run.run_tables(prepared, work, PACK, max_iter=MAX_ITER)
+    results = run.run_tables(prepared, work, PACK)
     for name in ("agent_documents", "judge_summary", "pass_rate"):
         tables.write_json(results[name], work.path(f"out/{name}"))
     return results["comparison"]

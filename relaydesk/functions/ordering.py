@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-WINDOW_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
-
 
 def seeded_key(id_col: Column, seed: int, method: str = "xxhash64") -> Column:
     """A pseudo-random order key that depends only on the id and the seed."""
@@ -33,7 +31,7 @@ def top_n_per_group(
     first by the hash of ``salt_on`` (every plain column unless given), so no task ever sorts a
     whole hot group.
     """
-    if n > WINDOW_LIMIT:
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
         salt = F.pmod(F.xxhash64(*(salt_on or plain)), F.lit(salts))
         inner = Window.partitionBy(*keys, "__salt").orderBy(*order)

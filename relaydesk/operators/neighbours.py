@@ -285,14 +285,6 @@ def nearest_pruned(
     return _named(_best(home.select("qid", "bid", "sim").unionByName(others), k), query_id, base_id)
 
 
-def nearest_sized(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id",
-                  base_id: str = "id", vec: str = "vec", exclude_self: bool = False) -> DataFrame:
-    """:func:`nearest` for a base of a few blocks, :func:`nearest_pruned` beyond. The base should
-    be a written table, whose count is read from its footers."""
-    search = nearest if base.count() <= 4 * BLOCK_ROWS else nearest_pruned
-    return search(queries, base, k, query_id, base_id, vec, exclude_self)
-
-
 def one_query_top_k(base: DataFrame, query_vec: list[float], k: int, base_id: str = "id", vec: str = "vec") -> DataFrame:
     """The ``k`` most similar base rows to one query vector."""
     q = F.array(*[F.lit(float(x)) for x in query_vec])
@@ -379,7 +371,7 @@ def classify_blend(
     label: str = "label",
     vec: str = "vec",
     exclude_self: bool = True,
-    search=nearest_sized,
+    search=nearest,
 ) -> DataFrame:
     """Adds intent, intent_confidence and intent_all_scores to ``queries`` from (id, label, vec) examples."""
     near = search(queries, examples, k, query_id, base_id, vec, exclude_self)
@@ -416,7 +408,7 @@ def retrieve_cases(
     query_id: str = "query_id",
     vec: str = "vec",
     exclude_self: bool = True,
-    search=nearest_sized,
+    search=nearest,
 ) -> DataFrame:
     """(query_id, retrieved_cases): the ``top_k`` cases, most similar first.
 

@@ -51,7 +51,7 @@ def parse_judge_replies(df: DataFrame, content: str) -> DataFrame:
     value = {d: F.coalesce(F.col("__n")[d], F.col("__f")[d].cast("int").cast("double")) for d in DIMS}
     valid = F.lit(True)
     for d in DIMS:
-        valid = valid & value[d].isNotNull() & ~F.isnan(value[d]) & (F.abs(value[d]) < 1e18)
+        valid = valid & value[d].isNotNull() & ~F.isnan(value[d]) & (F.abs(value[d]) != float("inf"))
     scores = [
         F.when(valid, clamp(value[d], -9.0, 9.0).cast("int")).alias(d) for d in DIMS
     ]

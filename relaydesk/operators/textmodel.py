@@ -86,7 +86,7 @@ def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words:
 
 def fit_classifier(
     examples: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True,
-    c: float = 1.0, max_iter: int = 1000, tol: float = 1e-4, work: Workspace | None = None, name: str = "term_vectors",
+    c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6, work: Workspace | None = None, name: str = "term_vectors",
 ) -> PipelineModel:
     """TF-IDF and multinomial logistic regression on (text, label).
 

@@ -82,7 +82,7 @@ def cross_domain(examples: DataFrame, class_map: DataFrame, id_col: str, work: W
 
 
 def run_tables(prepared: Prepared, work: Workspace, pack: RulePack = SUPPORT_PACK, quick: bool = False,
-               skip_judge: bool = False, judge_n: int = 50, parity: bool = False,
+               skip_judge: bool = False, judge_n: int | None = None, parity: bool = False,
                human_scores: DataFrame | None = None, max_iter: int = 1000) -> dict[str, DataFrame]:
     """All result tables of a run over prepared data."""
     golden = prepared.golden_set
@@ -116,9 +116,10 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser()
     parser.add_argument("--transcripts", required=True)
     parser.add_argument("--out", required=True)
-    parser.add_argument("--brand", default="AppleSupport")
-    parser.add_argument("--max-conversations", type=int, default=8000)
-    parser.add_argument("--max-pairs", type=int, default=5000)
+    parser.add_argument("--brand", help="only transcripts of this brand")
+    parser.add_argument("--max-conversations", type=int, help="no limit unless given")
+    parser.add_argument("--max-pairs", type=int, help="no limit unless given")
+    parser.add_argument("--judge-rows", type=int, help="golden rows to judge, all unless given")
     parser.add_argument("--quick", action="store_true")
     parser.add_argument("--skip-judge", action="store_true")
     parser.add_argument("--parity", action="store_true", help="train on and retrieve golden rows")
@@ -136,7 +137,7 @@ def main(argv: list[str] | None = None) -> None:
                        max_conversations=args.max_conversations or None,
                        max_pairs=args.max_pairs or None)
     human = spark.read.parquet(args.human_scores) if args.human_scores else None
-    results = run_tables(prepared, work, quick=args.quick, skip_judge=args.skip_judge,
+    results = run_tables(prepared, work, quick=args.quick, skip_judge=args.skip_judge, judge_n=args.judge_rows,
                          parity=args.parity, human_scores=human)
     results |= {"golden_set": prepared.golden_set, "knowledge_base": prepared.knowledge_base,
                 "judge_subset": prepared.judge_subset}

@@ -161,3 +161,10 @@ def test_class_map(spark):
     assert (row["num_intents"], row["mapped_intents"], row["coverage_pct"]) == (77, 76, 98.7)
     assert [r[0] for r in datasets.unmapped_labels(counts, mapping).collect()] == ["atm_support"]
     assert datasets.mapped_distribution(counts, mapping).first()["intent"] == "billing_store"
+
+
+def test_turn_ids_do_not_collide(spark):
+    from relaydesk.catalog.inputs import turn_id
+
+    turns = spark.range(3).selectExpr("id AS conv_id").crossJoin(spark.range(150).selectExpr("id AS turn"))
+    assert turns.select(turn_id("turn").alias("id")).distinct().count() == 450

@@ -84,6 +84,7 @@ def reply(**kw):
     (reply(tone_empathy="4"), None),
     (reply(tone_empathy=None), None),
     (reply(tone_empathy=True), [4, 3, 1, 1]),
+    (reply(tone_empathy=1e20), [4, 3, 5, 1]), (reply(tone_empathy=-1e300), [4, 3, 1, 1]), (reply(tone_empathy=float("nan")), None),
     ("no json", None), ("", None), (None, None), ("[1]", None), (reply(reasoning="drop"), [4, 3, 5, 1]),
 ])
 def test_judge_reply(spark, content, expected):

@@ -71,7 +71,6 @@ def test_string_ids(spark, points):
     want = {f"r{q:03d}": [f"r{i:03d}" for i in v] for q, v in brute(m[:60], m[:60], 3, True).items()}
     assert found(nb.nearest(queries, base, 3, exclude_self=True)) == want
     assert found(nb.nearest_pruned(queries, base, 3, exclude_self=True, pivots=4, block_rows=10)) == want
-    assert found(nb.nearest_sized(queries, base, 3, exclude_self=True)) == want
 
 
 def test_one_query(spark, points):
