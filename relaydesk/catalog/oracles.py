@@ -18,6 +18,14 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join(q(v) for v in row) + ")" for row in rows)
 
 
+def fill(template, columns) -> str:
+    pieces = template.split("%s")
+    out = q(pieces[0])
+    for column, piece in zip(columns, pieces[1:]):
+        out += f" || {column} || {q(piece)}"
+    return f"({out})"
+
+
 def hits(pack, text="text") -> list[str]:
     return [
         "(" + " + ".join(f"contains(lower({text}), {q(k)})::INT" for k in kws) + ")"
@@ -94,7 +102,7 @@ def keyword_decision(pack, text="text", keys="doc_id", source="documents") -> st
     listed = ", ".join(f"CASE WHEN {any_pattern(f.patterns, text)} THEN {q(f.name)} END" for f in pack.factors)
     return f"""
       SELECT {keys}, CASE WHEN len(fs) > 0 THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS decision,
-        CASE WHEN len(fs) > 0 THEN 'Keyword trigger detected (' || fs[1] || '). Escalating to human agent.'
+        CASE WHEN len(fs) > 0 THEN {fill(fv.KEYWORD_REASON, ["fs[1]"])}
              ELSE {q(fv.KEYWORD_AUTO_REASON)} END AS reason,
         array_to_string(fs, ',') AS factors,
         CASE WHEN len(fs) > 0 THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS risk_score
@@ -273,14 +281,6 @@ MESSAGES_WITH_CASES = (
 )
 
 
-def fill(template, columns) -> str:
-    pieces = template.split("%s")
-    out = q(pieces[0])
-    for column, piece in zip(columns, pieces[1:]):
-        out += f" || {column} || {q(piece)}"
-    return f"({out})"
-
-
 def prompt_sql() -> str:
     one = fill(fv.REPLY_PROMPT_CASE, ["1", "printf('%.2f', sim)", "text", "reply"])
     prompt = fill(fv.REPLY_PROMPT, [q(fv.DM_LINK), "text", "intent", "decision", "reason",

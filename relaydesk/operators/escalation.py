@@ -82,8 +82,7 @@ def decide_by_keywords(df: DataFrame, pack: RulePack, text_col: str, out: str =
     hit = F.size("__factors") > 0
     decision = F.struct(
         F.when(hit, "ESCALATE").otherwise("AUTO_HANDLE").alias("decision"),
-        F.when(hit, F.format_string("Keyword trigger detected (%s). Escalating to human agent.",
-                                    F.get("__factors", F.lit(0))))
+        F.when(hit, F.format_string(fv.KEYWORD_REASON, F.get("__factors", F.lit(0))))
         .otherwise(fv.KEYWORD_AUTO_REASON).alias("reason"),
         F.col("__factors").alias("factors"),
         F.when(hit, fv.KEYWORD_RISK[0]).otherwise(fv.KEYWORD_RISK[1]).alias("risk_score"),

@@ -11,8 +11,6 @@ from ..functions.ordering import pick_index
 from ..functions.text import NOT_WS, WS, contains_any, strip
 from ..rules import RulePack
 
-DM_FALLBACK = "We're here to help. DM us your details and we'll assist you. {dm_link}"
-
 
 def resolution_of(best_reply: Column, has_case: Column) -> Column:
     """Usable text of the best case: without mentions, links and opening phrases."""
@@ -44,7 +42,7 @@ def template_choices(intent: Column, decision: Column, pack: RulePack) -> Column
     names = list(dict.fromkeys(name for name, _, _ in pack.templates))
 
     def literal(texts):
-        return F.array(*[F.lit(t) for t in texts or (DM_FALLBACK,)])
+        return F.array(*[F.lit(t) for t in texts or (fv.DM_FALLBACK,)])
 
     def chosen(name):
         return F.when(
