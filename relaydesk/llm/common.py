@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.workspace import Workspace
 
-PIECE_BYTES = 2 << 20  # text that a kernel holds as numpy arrays at once; a longer text is one piece
+PIECE_BYTES = 1 << 20  # text that a kernel holds as numpy arrays at once; a longer text is one piece
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

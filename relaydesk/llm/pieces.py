@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 MARKER = "▁"
 TABLE_ENTRIES = 600_000
 SLICE_CHARS = 1 << 20  # texts that are cut at once, or one longer text
+SLICE_ROWS = 256  # rows of a batch that are Python objects at once
 _CHUNK = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
 _models: dict[str, object] = {}
 
@@ -102,50 +103,70 @@ def _slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
         yield some
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: the ids that the library gives each whole text, no begin or end id.
-
-    A null or empty text has no ids. Repeated rows and null document ids stay as they are; other columns
-    of the input are not read.
-    """
+def _encoder(model: str):
+    """Batches of (id, text) to batches of ``doc_id, ids``."""
 
     def kernel(batches):
         table = ChunkTable(load(model))
         for batch in batches:
-            row = 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for some in _slices(texts):
-                ids, at = table.encode(some)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(some)), lists], ["doc_id", "ids"])
-                row += len(some)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        kernel, f"doc_id {kind}, ids array<int>"
-    )
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                row = 0
+                for some in _slices([t or "" for t in part.column(1).to_pylist()]):
+                    ids, at = table.encode(some)
+                    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(row, len(some)), lists], ["doc_id", "ids"])
+                    row += len(some)
 
+    return kernel
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, ids, text``: the library's text of each row's ``ids``; null or no ids give an empty text."""
+
+def _decoder(model: str):
+    """Batches of ``doc_id, ids`` with the text of the ids."""
 
     def kernel(batches):
         for batch in batches:
             sp = load(model)
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
                 ids = part.column(1).to_pylist()
                 texts = [sp.decode(x) if x else "" for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
+    return kernel
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")), docs.schema[id_col].dataType.simpleString()
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids``: the ids that the library gives each whole text, no begin or end id.
+
+    A null or empty text has no ids. Repeated rows and null document ids stay as they are; other columns
+    of the input are not read.
+    """
+    named, kind = _named(docs, id_col, text_col)
+    return named.mapInArrow(_encoder(model), f"doc_id {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """``doc_id, ids, text``: the library's text of each row's ``ids``; null or no ids give an empty text."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(model), f"doc_id {kind}, ids array<int>, text string")
+
+
+def roundtrip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`decode` gives after :func:`encode`, in one pass: a task then needs one Python worker with
+    one model, and the ids do not travel to the JVM and back in between."""
+    named, kind = _named(docs, id_col, text_col)
+    there, back = _encoder(model), _decoder(model)
+    return named.mapInArrow(lambda batches: back(there(batches)), f"doc_id {kind}, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """Per document the number of ids and the SHA-256 of the ids and of the decoded text."""
-    back = decode(encode(docs, model), model)
-    return back.select(
+    return roundtrip(docs, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
