@@ -19,7 +19,7 @@ from ..functions.vectors import cosine
 BLOCK_ROWS = 16_384
 CHUNK_ROWS = 16_384
 MIN_CHUNK_ROWS = 256
-MAX_PIVOTS = 512
+MAX_CENTROIDS = 10_000
 SIM_DIGITS = 9  # similarities closer than this count as ties and go to the lower id
 EPS = 1e-6
 
@@ -172,15 +172,14 @@ def nearest_pruned(
 ) -> DataFrame:
     """As :func:`nearest`, visiting only cells that can hold a neighbour. Same result.
 
-    At most 512 pivots are read by the driver; they and the per-cell sizes and radii are the only
-    data that leave the executors. A cell that holds most of the base is cut into blocks by id.
+    ``pivots`` rows, 512 unless given, are read by the driver; they and the per-cell sizes and radii
+    are the only data that leave the executors. A cell that holds most of the base is cut into blocks by id.
     Zero vectors form their own cell, whose similarity to anything is 0.
     """
     q = queries.select(F.col(query_id).alias("qid"), as_doubles(F.col(vec)).alias("qvec"))
     b = base.select(F.col(base_id).alias("bid"), as_doubles(F.col(vec)).alias("bvec"))
     if pivots is None:
-        pivots = max(1, min(MAX_PIVOTS, b.count() // block_rows))
-    pivots = min(pivots, MAX_PIVOTS)
+        pivots = 512
     sample = b.orderBy(F.xxhash64("bid", F.lit(7))).limit(pivots).select("bvec").collect()
     sc = queries.sparkSession.sparkContext
     pivot_rows = sc.broadcast([row["bvec"] for row in sample])
@@ -306,11 +305,14 @@ def centroid_scores(df: DataFrame, cents: DataFrame, vec: str = "vec", label: st
                     out: str = "centroid_scores") -> DataFrame:
     """Adds an array of (label, score) against every class centroid, in label order.
 
-    The class centroids travel as one value, not as a join side: one row per label is their
-    whole size.
+    The class centroids travel as one value, not as a join side. More than ``MAX_CENTROIDS``
+    labels are refused: every row gets a score per label, so an output of that width is no
+    classification any more.
     """
-    one_row = cents.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid")))).alias("c")
+    kept = F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid"))))
+    refused = F.raise_error(F.lit(f"more than {MAX_CENTROIDS} labels"))
+    one_row = cents.limit(MAX_CENTROIDS + 1).agg(
+        F.when(F.count("*") <= MAX_CENTROIDS, kept).otherwise(refused).alias("c")
     )
     scored = F.transform(
         F.col("__c"),

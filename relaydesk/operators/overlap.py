@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Callable
 
 import pandas as pd
@@ -27,33 +28,39 @@ def f1(common: Column, hyp: Column, ref: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * common, (hyp + ref).cast("double")), F.lit(0.0))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays.
+def _lcs(x, y) -> int:
+    """Bit-parallel (Crochemore et al., 2001): one row of the table per machine word run, so long
+    replies cost tokens x tokens / 64."""
+    masks = {}
+    for i, t in enumerate(x):
+        masks[t] = masks.get(t, 0) | (1 << i)
+    full = (1 << len(x)) - 1
+    row = full
+    for t in y:
+        hit = row & masks.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
 
-    Bit-parallel (Crochemore et al., 2001): one row of the table per machine word run, so long
-    replies cost tokens x tokens / 64. Arrow batches, no state between rows.
-    """
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays. Arrow batches, no state between rows."""
 
     def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            masks = {}
-            for i, t in enumerate(x):
-                masks[t] = masks.get(t, 0) | (1 << i)
-            full = (1 << len(x)) - 1
-            row = full
-            for t in y:
-                hit = row & masks.get(t, 0)
-                row = ((row + hit) | (row - hit)) & full
-            out.append(len(x) - row.bit_count())
-        return pd.Series(out, dtype="Int32")
+        found = [None if x is None or y is None else _lcs(x, y) for x, y in zip(left, right)]
+        return pd.Series(found, dtype="Int32")
 
     return F.pandas_udf(lcs, IntegerType())(a, b)
 
 
+def shared_count(a: Column, b: Column) -> Column:
+    """How many elements two arrays share, each as often as both have it. Linear in their lengths."""
+
+    def shared(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(left, right)], dtype="int32")
+
+    return F.pandas_udf(shared, IntegerType())(a, b)
+
+
 def overlap_scores(
     pairs: DataFrame,
     id_col: str,
@@ -62,64 +69,33 @@ def overlap_scores(
     stem: Callable[[Column], Column] | None = None,
     rouge_l: bool = True,
 ) -> DataFrame:
-    """(id, rouge1, rouge2, rougeL, unigram_bleu), each rounded to 4.
+    """(id, rouge1, rouge2, rougeL, unigram_bleu), each rounded to 4, one row per pair.
 
-    Every n-gram of a pair becomes one row with the number of times each side has it, which
-    combines before anything is shuffled: the rows are first placed by id, and both groupings and the
-    join with the subsequence scores reuse that placement. ``stem`` maps a token array to a stemmed one.
+    A pair is one row and is scored within it: nothing is shuffled and ids need not be unique.
+    Null texts are empty. ``stem`` maps a token array to a stemmed one.
     """
     stem = stem or (lambda c: c)
-    base = pairs.select(
+    g, r = F.coalesce(F.col(generated), F.lit("")), F.coalesce(F.col(reference), F.lit(""))
+    sides = pairs.select(
         F.col(id_col).alias("__id"),
-        F.coalesce(F.col(generated), F.lit("")).alias("g"),
-        F.coalesce(F.col(reference), F.lit("")).alias("r"),
-    )
-    placed = base.repartition("__id").select(
+        stem(word_tokens(g)).alias("h1"), stem(word_tokens(r)).alias("r1"),
+        tokens(F.lower(g)).alias("hw"), tokens(F.lower(r)).alias("rw"),
+    ).withColumns({"h2": ngrams(F.col("h1"), 2), "r2": ngrams(F.col("r1"), 2)})
+    counted = sides.select(
         "__id",
-        stem(word_tokens(F.col("g"))).alias("hw"),
-        stem(word_tokens(F.col("r"))).alias("rw"),
-        tokens(F.lower("g")).alias("ht"),
-        tokens(F.lower("r")).alias("rt"),
+        *[F.size(c).alias(c) for c in ("h1", "r1", "h2", "r2", "hw", "rw")],
+        *[shared_count(F.col(f"h{kind}"), F.col(f"r{kind}")).alias(f"c{kind}") for kind in ("1", "2", "w")],
+        *([lcs_length(F.col("h1"), F.col("r1")).alias("longest")] if rouge_l else []),
     )
-
-    def side(kind, c, flag):
-        return F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("gram"), F.lit(flag).alias("hyp")))
-
-    grams = F.concat(
-        side("1", F.col("hw"), 1), side("1", F.col("rw"), 0),
-        side("2", ngrams(F.col("hw"), 2), 1), side("2", ngrams(F.col("rw"), 2), 0),
-        side("w", F.col("ht"), 1), side("w", F.col("rt"), 0),
-    )
-    counted = (
-        placed.select("__id", F.explode_outer(grams).alias("x"))
-        .groupBy("__id", F.col("x.kind").alias("kind"), F.col("x.gram").alias("gram"))
-        .agg(F.sum("x.hyp").alias("h"), F.sum(1 - F.col("x.hyp")).alias("r"))
-    )
-
-    def total(kind, c):
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, c)), F.lit(0))
-
-    common = F.least("h", "r")
-    sums = counted.groupBy("__id").agg(*[
-        total(kind, c).alias(f"{name}{kind}")
-        for kind in ("1", "2", "w")
-        for name, c in (("c", common), ("h", F.col("h")), ("r", F.col("r")))
-    ])
     precision = F.try_divide(F.col("cw").cast("double"), F.col("hw"))
     brevity = F.least(F.lit(1.0), F.try_divide(F.col("hw").cast("double"), F.col("rw")))
-    out = sums.select(
+    return counted.select(
         F.col("__id").alias(id_col),
         F.round(f1(F.col("c1"), F.col("h1"), F.col("r1")), 4).alias("rouge1"),
         F.round(f1(F.col("c2"), F.col("h2"), F.col("r2")), 4).alias("rouge2"),
+        *([F.round(f1(F.col("longest"), F.col("h1"), F.col("r1")), 4).alias("rougeL")] if rouge_l else []),
         F.round(F.coalesce(precision * brevity, F.lit(0.0)), 4).alias("unigram_bleu"),
     )
-    if not rouge_l:
-        return out
-    longest = placed.select(
-        F.col("__id").alias(id_col),
-        F.round(f1(lcs_length(F.col("hw"), F.col("rw")), F.size("hw"), F.size("rw")), 4).alias("rougeL"),
-    )
-    return out.join(longest, id_col).select(id_col, "rouge1", "rouge2", "rougeL", "unigram_bleu")
 
 
 def quality_means(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
