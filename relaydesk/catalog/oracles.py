@@ -368,6 +368,9 @@ def oracle_sql() -> dict[str, str]:
         "keyword_matches": f"""SELECT intent, kw, count(*) AS n_docs FROM documents
             JOIN (SELECT * FROM (VALUES {values((i, k) for i, ks in PACK.taxonomy for k in ks)}) AS v(intent, kw))
             ON contains(lower(text), kw) GROUP BY 1, 2""",
+        "keyword_matches_table": f"""SELECT intent, kw, count(*) AS n_docs FROM documents
+            JOIN (SELECT * FROM (VALUES {values((i, k) for i, ks in PACK.taxonomy for k in ks)}) AS v(intent, kw))
+            ON contains(lower(text), kw) GROUP BY 1, 2""",
         "gold_decision": f"""SELECT conv_id, turn, {decision} AS gold_escalation, {reason} AS gold_escalation_reason
             FROM ({labelled('conversations', PACK)})""",
         "golden_records": f"""SELECT id, gold_intent, intent_confidence, gold_escalation, gold_escalation_reason,

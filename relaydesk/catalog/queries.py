@@ -126,6 +126,12 @@ def keyword_matches(spark, d):
     return hits.groupBy("intent", "kw").agg(F.count("*").alias("n_docs"))
 
 
+@query
+def keyword_matches_table(spark, d):
+    hits = intents.keyword_matches_table(documents(spark, d), "text", PACK.keyword_table(spark), "doc_id")
+    return hits.groupBy("intent", "kw").agg(F.count("*").alias("n_docs"))
+
+
 @query
 def gold_decision(spark, d):
     return intents.gold_escalation(_labelled(spark, d), "text", PACK).select(

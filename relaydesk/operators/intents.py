@@ -26,6 +26,35 @@ def keyword_matches(df: DataFrame, text_col: str, pack: RulePack, keep: list[str
     return lowered.select(*keep, F.explode(hits).alias("__hit")).select(*keep, "__hit.*")
 
 
+KEY_CHARS = 4  # beginning of a keyword that finds the texts it may be in
+
+
+def keyword_matches_table(df: DataFrame, text_col: str, keywords: DataFrame, key: str) -> DataFrame:
+    """As :func:`keyword_matches`, against a table (intent, ord, kw) of any size: (key, intent, ord, kw).
+
+    Texts and keywords meet by an equal join on the first characters of the keyword, on keys alone;
+    the text is then fetched by ``key``, which must be unique, and searched for the whole keyword.
+    An empty or null keyword and a null text or key match nothing; a repeated rule row counts once.
+    The driver reads only the lengths of the beginnings, at most ``KEY_CHARS`` numbers.
+    """
+    rules = keywords.select("intent", "ord", "kw").where(F.length("kw") > 0).distinct().withColumn(
+        "__gram", F.substring("kw", 1, KEY_CHARS)
+    )
+    lengths = [r[0] for r in rules.select(F.length("__gram")).distinct().collect()]
+    texts = df.select(key, F.lower(text_col).alias("__t"))
+    chars = texts.where(F.length("__t") > 0).select(key, F.split("__t", "").alias("__c"))
+
+    def beginnings(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("__c") - n + 1)
+        grams = F.transform(at, lambda i: F.array_join(F.slice("__c", i, n), ""))
+        return F.when(F.size("__c") >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    found = chars.select(key, F.explode(F.array_distinct(F.concat(
+        F.array().cast("array<string>"), *[beginnings(n) for n in lengths]))).alias("__gram"))
+    met = found.join(rules, "__gram").select(key, "intent", "ord", "kw")
+    return met.join(texts, key).where(F.contains("__t", "kw")).select(key, "intent", "ord", "kw")
+
+
 def label_intents(df: DataFrame, text_col: str, pack: RulePack) -> DataFrame:
     """Adds hits, intent, intent_confidence and n_intents.
 

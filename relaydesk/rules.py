@@ -1,7 +1,8 @@
 """Rule packs: the keyword, pattern and template tables the operators take as input.
 
-A pack is small by construction. Packs read from a table are checked against a row
-bound before they are brought into the plan as literals.
+A pack is small by construction. A pack read from a table is checked against the row bound its
+caller states before it becomes literals of the plan; ``operators.intents.keyword_matches_table``
+joins a rule table of any size instead.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixed_values as fv
 
-MAX_RULE_ROWS = 20_000
-
 
 @dataclass(frozen=True)
 class Factor:
@@ -82,7 +81,7 @@ SUPPORT_PACK = RulePack(
 )
 
 
-def bounded_rows(table: DataFrame, max_rows: int = MAX_RULE_ROWS) -> list:
+def bounded_rows(table: DataFrame, max_rows: int) -> list:
     """Rows of a rule table, refusing tables that are not rule-sized."""
     rows = table.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
@@ -90,7 +89,7 @@ def bounded_rows(table: DataFrame, max_rows: int = MAX_RULE_ROWS) -> list:
     return rows
 
 
-def taxonomy_from_table(keywords: DataFrame, max_rows: int = MAX_RULE_ROWS):
+def taxonomy_from_table(keywords: DataFrame, max_rows: int):
     """(intent, ord, kw) rows to a taxonomy tuple, in ``ord`` order."""
     grouped: dict[tuple[int, str], list[str]] = defaultdict(list)
     rows = bounded_rows(keywords.select("intent", "ord", "kw"), max_rows)
