@@ -2,8 +2,8 @@
 
 Every source of evidence is a likelihood or prior counted from the table itself:
 
-- text: hashed byte trigrams per declared language, counted over all texts, smoothed, and tempered because
-  overlapping trigrams are not independent;
+- text: hashed byte trigrams per declared language, every one of them, counted over all texts, smoothed
+  towards those of the whole table, and tempered because overlapping trigrams are not independent;
 - declared language and address suffix: how often they stand with each language that the text alone tells;
 - host: share of each language on the host, smoothed towards its domain (any number of wider levels), and
   those towards the whole table, by grouped aggregation.
@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import Workspace, text_pieces
 
 BUCKETS = 1 << 16
 TEMPER = 0.2
-SMOOTH = 0.5  # added to every trigram count
+WIDER = 0.1  # share of the whole table's trigrams in a language, the same for all, so that trigrams new to them weigh alike
+EVEN = 0.1  # share of equal counts in the whole table's
 PRIOR_ROWS = 20.0  # rows that a wider level counts for
-MIN_ROWS = 20  # declared rows that make a language of the model
-MAX_LANGUAGES = 100  # of the model, by rows; bounds the table of trigrams (26 MB)
+MIN_ROWS = 1  # declared rows that make a language of the model
+HELD = 100  # languages that a task counts at once before it passes the counts on
+CELLS = 1 << 20  # rows times languages in one batch
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WORDLIKE = np.ones(256, bool)
@@ -59,11 +61,11 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
                 names = batch.column(0).slice(first, last - first).dictionary_encode()
                 own = names.indices.to_numpy(zero_copy_only=False)[rows]
                 for k, name in enumerate(names.dictionary.to_pylist()):
+                    if name not in counts and len(counts) >= HELD:
+                        yield from _counted(counts)
+                        counts = {}
                     counts.setdefault(name, np.zeros(BUCKETS, np.int64))
                     counts[name] += np.bincount(codes[own == k], minlength=BUCKETS)
-                if len(counts) > MAX_LANGUAGES:
-                    yield from _counted(counts)
-                    counts = {}
         yield from _counted(counts)
 
     return texts.where(F.col("declared").isNotNull()).mapInArrow(kernel, "declared string, bucket int, n bigint").groupBy(
@@ -79,58 +81,107 @@ def _counted(counts):
         )
 
 
-def _model(rows: DataFrame, min_rows: int, work: Workspace) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probability of each trigram bucket (buckets, languages)."""
-    languages = sorted(r[0] for r in rows.where(F.col("declared").isNotNull()).groupBy("declared").count().where(
-        F.col("count") >= min_rows
-    ).orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect())
-    counts = np.full((BUCKETS, max(len(languages), 1)), SMOOTH)
-    if languages:
-        told = count_trigrams(rows.select("declared", "text").where(F.col("declared").isin(languages))).toPandas()
-        place = {name: k for k, name in enumerate(languages)}
-        counts[told["bucket"], told["declared"].map(place).astype(int)] += told["n"]
-    return languages, np.log(counts / counts.sum(0)).astype(np.float32)
-
-
-def _text_scores(rows: DataFrame, table, columns: list[str]) -> DataFrame:
+def _model(rows: DataFrame, min_rows: int) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Languages, log probability of each trigram bucket where a language has none, and per language the
+    buckets it has with what they say more. Memory follows the buckets that languages have, not their number."""
+    told = rows.where(F.col("declared") != "").groupBy("declared").count().where(F.col("count") >= min_rows)
+    languages = sorted(r[0] for r in told.select("declared").collect())
+    if not languages:
+        return [], np.full(BUCKETS, -np.log(BUCKETS)), []
+    place = rows.sparkSession.createDataFrame(list(enumerate(languages)), "k int, declared string")
+    counted = count_trigrams(rows.select("declared", "text").where(F.col("declared") != "")).join(place, "declared")
+    told = counted.select("k", "bucket", "n").toPandas().sort_values(["k", "bucket"])
+    k, bucket, n = (told[c].to_numpy() for c in ("k", "bucket", "n"))
+    whole = np.bincount(bucket, weights=n, minlength=BUCKETS)
+    whole = (1 - EVEN) * whole / max(whole.sum(), 1) + EVEN / BUCKETS
+    at = np.searchsorted(k, np.arange(len(languages) + 1))
+    more = []
+    for first, last in zip(at[:-1], at[1:]):
+        own, has = n[first:last], bucket[first:last].astype(np.int32)
+        more.append((has, np.log1p((1 - WIDER) * own / max(own.sum(), 1) / (WIDER * whole[has])).astype(np.float32)))
+    return languages, np.log(WIDER * whole), more
+
+
+def _text_scores(rows: DataFrame, model, columns: list[str]) -> DataFrame:
     """``rows`` without the text but with ``scores`` (log likelihood per language) and ``n_grams``."""
-    width = table.value.shape[1]
     at_text = rows.columns.index("text")
 
     def kernel(batches):
-        model = table.value
+        unseen, more = model.value
+        width = max(len(more), 1)
         for batch in batches:
             for first, last, buf, at in text_pieces(batch.column(at_text)):
                 codes, row = _trigrams(buf, at)
                 n = last - first
-                sums = np.stack([np.bincount(row, weights=model[codes, k], minlength=n) for k in range(width)], 1).astype(np.float64)  # of no trigrams at all come whole numbers
+                sums = np.repeat(np.bincount(row, weights=unseen[codes], minlength=n).astype(np.float64)[:, None], width, 1)  # of no trigrams at all come whole numbers
+                for k, (has, gain) in enumerate(more):
+                    gains = np.zeros(BUCKETS, np.float32)
+                    gains[has] = gain
+                    sums[:, k] += np.bincount(row, weights=gains[codes], minlength=n)
                 grams = np.bincount(row, minlength=n)
-                part = [batch.column(c).slice(first, n) for c in columns]
-                scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([*part, scores, pa.array(grams)], [*columns, "scores", "n_grams"])
+                some = max(CELLS // width, 1)
+                for low in range(0, n, some):
+                    high = min(low + some, n)
+                    part = [batch.column(c).slice(first + low, high - low) for c in columns]
+                    scores = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * width), pa.array(sums[low:high].ravel()))
+                    best = pa.array(sums[low:high].argmax(1).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*part, scores, best, pa.array(grams[low:high])], [*columns, "scores", "best", "n_grams"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(kernel, f"{kinds}, scores array<double>, n_grams bigint")
+    return rows.mapInArrow(kernel, f"{kinds}, scores array<double>, best int, n_grams bigint")
 
 
-def _counts(best: Column, width: int) -> Column:
-    return F.array(*[F.sum(F.when(best == k, 1.0).otherwise(0.0)) for k in range(width)])
+def _counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys, name``: how many rows of the keys the text tells as each language, of those that it tells at all."""
+    each = rows.groupBy(*keys, "best").agg(F.count("*").cast("double").alias("n"))
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("best", "n"))).alias(name))
 
 
-def _toward(counts: Column, wider: Column, weight: float) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(counts, wider, lambda n, p: (n + weight * p) / (total + weight))
+def _posteriors(told: DataFrame, languages: list[str], shared, depths: int, temper: float, kind: str) -> DataFrame:
+    """The product of all evidence of each row: its language, posterior and what its text alone tells."""
+    width = max(len(languages), 1)
+    counted = [f"n{d}" for d in range(depths - 1, -1, -1)]  # widest first
+    columns = ["id", "mark", "declared", "scores", "best", "n_grams", *counted, "of_declared", "of_suffix"]
 
+    def sparse(column):
+        """Per row the languages and numbers of a list of pairs, None where it is null."""
+        at, pairs = column.offsets.to_numpy(), column.values
+        best, n = (pairs.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        return [(best[a:b], n[a:b]) if ok else None for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist())]
 
-def _evidence(told: DataFrame, name: str, width: int) -> DataFrame:
-    """``value, log_<name>``: log probability of each value of a column given each language."""
-    rows = told.where(F.col(name).isNotNull() & (F.col("n_grams") > 0)).groupBy(F.col(name).alias("value")).agg(_counts(F.col("best"), width).alias("n"))
-    sums = told.where(F.col(name).isNotNull() & (F.col("n_grams") > 0)).agg(
-        *[F.sum(F.when(F.col("best") == k, 1.0).otherwise(0.0)).alias(f"s{k}") for k in range(width)], F.countDistinct(name).alias("values")
-    ).first()
-    floor = float(sums["values"] or 1)
-    totals = F.array(*[F.lit(float(sums[f"s{k}"] or 0.0) + floor) for k in range(width)])
-    return rows.select("value", F.zip_with("n", totals, lambda n, t: F.log((n + 1.0) / t)).alias(f"log_{name}"))
+    def kernel(batches):
+        base, totals = shared.value
+        for batch in batches:
+            some = max(CELLS // width, 1)
+            for first in range(0, batch.num_rows, some):
+                part = batch.slice(first, some)
+                n = part.num_rows
+                column = lambda name: part.column(columns.index(name))
+                scores = column("scores").flatten().to_numpy().reshape(n, width)
+                logs = np.repeat(base[None, :], n, 0)
+                for name in counted:
+                    for i, pair in enumerate(sparse(column(name))):
+                        if pair is not None:
+                            logs[i] *= PRIOR_ROWS
+                            logs[i, pair[0]] += pair[1]
+                            logs[i] /= pair[1].sum() + PRIOR_ROWS
+                logs = np.log(logs) + temper * scores
+                for name in ("declared", "suffix"):
+                    for i, pair in enumerate(sparse(column(f"of_{name}"))):
+                        if pair is not None:
+                            logs[i] -= totals[name]
+                            logs[i, pair[0]] += np.log1p(pair[1])
+                top = logs.argmax(1)
+                posterior = 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+                grams, best = column("n_grams").to_numpy(), column("best").to_numpy()
+                names = pa.array(languages or [None], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [column("id"), column("mark"), column("declared"), names.take(pa.array(top)), pa.array(posterior),
+                     names.take(pa.array(best, mask=grams == 0))],
+                    ["id", "mark", "declared", "language", "posterior", "text_language"],
+                )
+
+    return told.select(*columns).mapInArrow(kernel, f"id {kind}, mark bigint, declared string, language string, posterior double, text_language string")
 
 
 def identify(rows: DataFrame, work: Workspace, levels: tuple[str, ...] = ("host",), min_rows: int = MIN_ROWS, temper: float = TEMPER,
@@ -139,49 +190,47 @@ def identify(rows: DataFrame, work: Workspace, levels: tuple[str, ...] = ("host"
     possibly null, ``declared``, ``suffix`` and the ``levels`` (host first, wider ones after).
 
     Null evidence says nothing; a null or empty text or one without letters has only the other evidence and
-    is not accepted. Languages are the declared ones with ``min_rows`` rows; if there are none, language is
-    null and nothing is accepted. Equal posteriors go to the first language by name. Repeated rows are
-    judged alike and counted each. An empty table gives an empty result. ``mark`` is a hash of the text.
+    is not accepted. Languages are the declared ones with ``min_rows`` rows (all, if not given; an empty one
+    is none); if there are none, language is null and nothing is accepted. Equal posteriors go to the first
+    language by name. Repeated rows are judged alike and counted each. An empty table gives an empty result.
+    ``mark`` is a hash of the text.
     """
     columns = ["id", "mark", "declared", "suffix", *levels]
-    languages, table = _model(rows, min_rows, work)
+    languages, unseen, more = _model(rows, min_rows)
     width = max(len(languages), 1)
-    shared = work.spark.sparkContext.broadcast(table)
+    send = work.spark.sparkContext.broadcast
     told = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))).select(*columns, "text")
-    told = _text_scores(told, shared, columns)
-    best = F.array_position("scores", F.array_max("scores")) - 1
-    told = work.stage("scores", told.withColumn("best", best.cast("int")))
+    told = work.stage("scores", _text_scores(told, send((unseen, more)), columns))
 
     sure = told.where("n_grams > 0")
-    everywhere = sure.agg(*[F.sum(F.when(F.col("best") == k, 1.0).otherwise(0.0)).alias(f"n{k}") for k in range(width)]).first()
-    overall = np.array([everywhere[f"n{k}"] or 0.0 for k in range(width)]) + 1.0
-    base = F.array(*[F.lit(float(p)) for p in overall / overall.sum()])
+
+    def by_language(part: DataFrame) -> np.ndarray:
+        out = np.zeros(width)
+        for r in part.groupBy("best").count().collect():
+            out[r["best"]] = r["count"]
+        return out
+
+    overall = by_language(sure) + 1.0
     prior = None
     for depth in range(len(levels) - 1, -1, -1):
         here, wider = levels[depth], levels[depth + 1 :]
-        counted = sure.where(F.col(here).isNotNull()).groupBy(*levels[depth:]).agg(_counts(F.col("best"), width).alias("n"))
-        if prior is None:
-            prior = counted.select(*levels[depth:], _toward(F.col("n"), base, PRIOR_ROWS).alias("prior"))
-        else:
-            up = prior.select(*[F.col(c).alias(f"up_{c}") for c in wider], F.col("prior").alias("up"))
-            same = [F.col(c).eqNullSafe(F.col(f"up_{c}")) for c in wider]
-            counted = counted.join(up, same, "left").drop(*[f"up_{c}" for c in wider])
-            prior = counted.select(*levels[depth:], _toward(F.col("n"), F.coalesce("up", base), PRIOR_ROWS).alias("prior"))
-    prior = prior.select(*[F.col(c).alias(f"of_{c}") for c in levels], "prior")
-    told = told.join(prior, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in levels], "left")
-    zero = F.array(*[F.lit(0.0)] * width)
-    total = F.zip_with(F.transform(F.coalesce("prior", base), lambda p: F.ln(p)), F.transform("scores", lambda s: s * temper), lambda a, b: a + b)
+        counted = _counts(sure.where(F.col(here).isNotNull()), list(levels[depth:]), f"n{depth}")
+        if prior is not None:
+            up = prior.select(*[F.col(c).alias(f"up_{c}") for c in wider], *[f"n{d}" for d in range(depth + 1, len(levels))])
+            counted = counted.join(up, [F.col(c).eqNullSafe(F.col(f"up_{c}")) for c in wider], "left").drop(*[f"up_{c}" for c in wider])
+        prior = counted
+    prior = prior.withColumnsRenamed({c: f"of_{c}" for c in levels})
+    told = told.join(prior, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in levels], "left").drop(*[f"of_{c}" for c in levels])
+    totals = {}
     for name in ("declared", "suffix"):
-        told = told.join(_evidence(told.drop("prior"), name, width).withColumnRenamed("value", f"value_{name}"), F.col(name) == F.col(f"value_{name}"), "left")
-        total = F.zip_with(total, F.coalesce(f"log_{name}", zero), lambda a, b: a + b)
-    told = told.withColumn("logs", total).withColumn("top", F.array_max("logs"))
-    posterior = 1.0 / F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
-    names = F.array(*[F.lit(x) for x in languages]) if languages else F.array(F.lit(None).cast("string"))
-    return told.select(
-        "id", "mark", "declared", F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int")).alias("language"), posterior.alias("posterior"),
-        F.when(F.col("n_grams") > 0, F.get(names, F.col("best"))).alias("text_language"),
-        ((F.col("n_grams") > 0) & F.lit(bool(languages)) & (posterior >= min_posterior)).alias("accepted"),
-    )
+        having = sure.where(F.col(name).isNotNull())
+        values = having.agg(F.countDistinct(name)).first()[0]
+        totals[name] = np.log(by_language(having) + float(values or 1))
+        evidence = _counts(having, [name], f"of_{name}").withColumnRenamed(name, f"value_{name}")
+        told = told.join(evidence, F.col(name) == F.col(f"value_{name}"), "left")
+    shared = send((overall / overall.sum(), totals))
+    told = _posteriors(told, languages, shared, len(levels), temper, rows.schema["id"].dataType.simpleString())
+    return told.withColumn("accepted", F.col("text_language").isNotNull() & (F.col("posterior") >= min_posterior))
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -229,6 +229,23 @@ def test_text_outweighs_a_false_declaration(spark):
     assert sum(r.language == truth[r.id] for r in told.collect()) >= 0.95 * len(real)
 
 
+@pytest.mark.parametrize("query, table, of", [("op5_language", "documents", "lang"), ("page_languages", "pages", None)])
+def test_every_declared_language_is_modelled(spark, query, table, of):
+    told = queries.REGISTRY[query](spark, SF).collect()
+    declared = collections.Counter(r.declared for r in told if r.declared)
+    assert set(declared) == {"en", "de", "fr", "es"} and min(declared.values()) < 20
+    assert all(r.language == r.declared for r in told if r.declared)
+    assert len(told) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_languages_without_bound(spark):
+    letters = [chr(0x4E00 + k) for k in range(600)]
+    rows = [(k, letters[2 * (k % 300)] * 2 + letters[2 * (k % 300) + 1] * 3, f"l{k % 300}", None, "h") for k in range(900)]
+    rows += [(1000 + k, rows[k][1], None, None, None) for k in range(300)]
+    told = language.identify(spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string"), workspace(spark), temper=1.0)
+    assert all(r.language == f"l{r.id % 300 if r.id < 1000 else r.id - 1000}" for r in told.collect())
+
+
 def test_toxicity_matches_misspelled_words_and_spares_quotations():
     match = toxicity.Matcher(toxicity.Trie([("idiot", False, 5.0), ("scum", False, 5.0), ("disgust", True, 5.0)]))
     words = lambda t: [(h["word"], h["edits"], h["quoted"]) for h in toxicity.hits(t, match)[1]]
