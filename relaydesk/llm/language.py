@@ -8,8 +8,10 @@ Every source of evidence is a likelihood or prior counted from the table itself:
 - host: share of each language on the host, smoothed towards its domain (any number of wider levels), and
   those towards the whole table, by grouped aggregation.
 
-The posterior is their normalised product. A text is accepted if it has a word character at all and its best
-posterior reaches ``min_posterior``.
+The posterior is their normalised product. It only compares the modelled languages, so a text is accepted if its
+best posterior reaches ``min_posterior`` and the text itself fits the language: its mean log likelihood per
+trigram reaches what texts that are declared and told as the language have, less an allowance for short ones.
+A text without a word character fits nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ WIDER = 0.1  # share of the whole table's trigrams in a language, the same for a
 EVEN = 0.1  # share of equal counts in the whole table's
 PRIOR_ROWS = 20.0  # rows that a wider level counts for
 MIN_ROWS = 1  # declared rows that make a language of the model
+BINS = 0.01  # width of the bins that log likelihoods are counted in
+LOW = 0.01  # share of a language's own texts below the low mark
+REACH = 2.0  # distances from median to low mark that a text may lie below the median
+SHORT = 18.0  # allowance of a text of one trigram; falls with the root of their number, as keys and numbers fill more of a short text
 HELD = 100  # languages that a task counts at once before it passes the counts on
 CELLS = 1 << 20  # rows times languages in one batch
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -58,6 +64,10 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for first, last, buf, at in text_pieces(batch.column(1)):
                 codes, rows = _trigrams(buf, at)
+                # a run of one character is one trigram here, or a text of it would vouch for itself
+                fresh = np.ones(len(codes), bool)
+                fresh[1:] = (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])
+                codes, rows = codes[fresh], rows[fresh]
                 names = batch.column(0).slice(first, last - first).dictionary_encode()
                 own = names.indices.to_numpy(zero_copy_only=False)[rows]
                 for k, name in enumerate(names.dictionary.to_pylist()):
@@ -137,8 +147,31 @@ def _counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("best", "n"))).alias(name))
 
 
+def _least_fits(sure: DataFrame, languages: list[str]) -> np.ndarray:
+    """Per language the mean log likelihood per trigram that a long text needs, from the rows that are both
+    declared and told as it; few rows are drawn to the marks of all, as ``PRIOR_ROWS`` rows."""
+    names = sure.sparkSession.createDataFrame(list(enumerate(languages)), "k int, name string")
+    own = sure.join(names, (F.col("declared") == F.col("name")) & (F.col("best") == F.col("k")))
+    bins = F.floor(F.get("scores", F.col("best")) / F.col("n_grams") / BINS).cast("int")
+    told = own.groupBy("best", bins.alias("bin")).agg(F.count("*").alias("n")).toPandas().sort_values(["best", "bin"])
+
+    def marks(part):
+        bin_, upto = part["bin"].to_numpy(), np.cumsum(part["n"].to_numpy())
+        median, low = (bin_[np.searchsorted(upto, q * upto[-1])] * BINS for q in (0.5, LOW))
+        return np.array([median, low])
+
+    if not len(told):
+        return np.full(len(languages), -np.inf)
+    every = marks(told.groupby("bin", as_index=False)["n"].sum())
+    out = np.repeat(every[None, :], len(languages), 0)
+    for k, part in told.groupby("best"):
+        n = part["n"].sum()
+        out[k] = (n * marks(part) + PRIOR_ROWS * every) / (n + PRIOR_ROWS)
+    return out[:, 0] - REACH * (out[:, 0] - out[:, 1])
+
+
 def _posteriors(told: DataFrame, languages: list[str], shared, depths: int, temper: float, kind: str) -> DataFrame:
-    """The product of all evidence of each row: its language, posterior and what its text alone tells."""
+    """The product of all evidence of each row: its language, posterior, what its text alone tells, and whether it fits."""
     width = max(len(languages), 1)
     counted = [f"n{d}" for d in range(depths - 1, -1, -1)]  # widest first
     columns = ["id", "mark", "declared", "scores", "best", "n_grams", *counted, "of_declared", "of_suffix"]
@@ -150,7 +183,7 @@ def _posteriors(told: DataFrame, languages: list[str], shared, depths: int, temp
         return [(best[a:b], n[a:b]) if ok else None for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist())]
 
     def kernel(batches):
-        base, totals = shared.value
+        base, totals, least = shared.value
         for batch in batches:
             some = max(CELLS // width, 1)
             for first in range(0, batch.num_rows, some):
@@ -174,14 +207,16 @@ def _posteriors(told: DataFrame, languages: list[str], shared, depths: int, temp
                 top = logs.argmax(1)
                 posterior = 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                 grams, best = column("n_grams").to_numpy(), column("best").to_numpy()
+                many = np.maximum(grams, 1)
+                fits = (grams > 0) & (scores[np.arange(n), top] / many >= least[top] - SHORT / np.sqrt(many))
                 names = pa.array(languages or [None], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [column("id"), column("mark"), column("declared"), names.take(pa.array(top)), pa.array(posterior),
-                     names.take(pa.array(best, mask=grams == 0))],
-                    ["id", "mark", "declared", "language", "posterior", "text_language"],
+                     names.take(pa.array(best, mask=grams == 0)), pa.array(fits)],
+                    ["id", "mark", "declared", "language", "posterior", "text_language", "fits"],
                 )
 
-    return told.select(*columns).mapInArrow(kernel, f"id {kind}, mark bigint, declared string, language string, posterior double, text_language string")
+    return told.select(*columns).mapInArrow(kernel, f"id {kind}, mark bigint, declared string, language string, posterior double, text_language string, fits boolean")
 
 
 def identify(rows: DataFrame, work: Workspace, levels: tuple[str, ...] = ("host",), min_rows: int = MIN_ROWS, temper: float = TEMPER,
@@ -190,7 +225,7 @@ def identify(rows: DataFrame, work: Workspace, levels: tuple[str, ...] = ("host"
     possibly null, ``declared``, ``suffix`` and the ``levels`` (host first, wider ones after).
 
     Null evidence says nothing; a null or empty text or one without letters has only the other evidence and
-    is not accepted. Languages are the declared ones with ``min_rows`` rows (all, if not given; an empty one
+    is not accepted, nor is one of noise or of a language that is not modelled. Languages are the declared ones with ``min_rows`` rows (all, if not given; an empty one
     is none); if there are none, language is null and nothing is accepted. Equal posteriors go to the first
     language by name. Repeated rows are judged alike and counted each. An empty table gives an empty result.
     ``mark`` is a hash of the text.
@@ -228,9 +263,10 @@ def identify(rows: DataFrame, work: Workspace, levels: tuple[str, ...] = ("host"
         totals[name] = np.log(by_language(having) + float(values or 1))
         evidence = _counts(having, [name], f"of_{name}").withColumnRenamed(name, f"value_{name}")
         told = told.join(evidence, F.col(name) == F.col(f"value_{name}"), "left")
-    shared = send((overall / overall.sum(), totals))
+    least = _least_fits(sure, languages) if languages else np.zeros(1)
+    shared = send((overall / overall.sum(), totals, least))
     told = _posteriors(told, languages, shared, len(levels), temper, rows.schema["id"].dataType.simpleString())
-    return told.withColumn("accepted", F.col("text_language").isNotNull() & (F.col("posterior") >= min_posterior))
+    return told.withColumn("accepted", F.col("text_language").isNotNull() & F.col("fits") & (F.col("posterior") >= min_posterior)).drop("fits")
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

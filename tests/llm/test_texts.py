@@ -1,5 +1,6 @@
 """Text operators against brute force, the library they must equal, and held-out labels."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from relaydesk.llm import forest, language, mixing, pieces, quality_model, quality_rules, queries, suffixes, toxicity
 from relaydesk.llm.common import workspace
 from relaydesk.llm.hashing import shingles
@@ -246,6 +248,26 @@ def test_languages_without_bound(spark):
     assert all(r.language == f"l{r.id % 300 if r.id < 1000 else r.id - 1000}" for r in told.collect())
 
 
+def strangers():
+    rng = random.Random(8)
+    return {
+        "letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500)),
+        "base64": base64.b64encode(bytes(rng.randrange(256) for _ in range(1500))).decode(),
+        "one letter": "x" * 300,
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    }
+
+
+@pytest.mark.parametrize("size, lang", [("sf0.001", None), ("sf0.01", None), ("sf0.01", "en")])
+def test_pipeline_drops_what_fits_no_language(spark, size, lang):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    planted = spark.createDataFrame([(-1 - k, t, lang, "src1", len(t)) for k, t in enumerate(strangers().values())], docs.schema)
+    left = [r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(planted), "").collect()]
+    assert min(left) >= 0 and len(left) == docs.count()
+
+
 def test_toxicity_matches_misspelled_words_and_spares_quotations():
     match = toxicity.Matcher(toxicity.Trie([("idiot", False, 5.0), ("scum", False, 5.0), ("disgust", True, 5.0)]))
     words = lambda t: [(h["word"], h["edits"], h["quoted"]) for h in toxicity.hits(t, match)[1]]
