@@ -19,7 +19,6 @@ from .common import Workspace
 from .learning import Scaler, held_out, logistic, seeded_first, sigmoid
 
 SAMPLE_ROWS = 10_000  # texts of either label that lexicon and net are learned from
-LEXICON_TERMS = 3_000  # words and stems kept, by weight
 EDITS = 1
 FUZZY_FROM = 5  # characters a word of the lexicon needs to be matched with an edit, a stem one more
 STEMS = (4, 5, 6)
@@ -161,10 +160,12 @@ def _row(n_words: int, found: list[dict], weights: np.ndarray) -> list[float]:
     return [np.log1p(abuse), np.log1p(near), np.log1p(quoted), np.log1p(100.0 * strong / max(n_words, 1)), np.log1p(len({h["term"] for h in found})), np.log1p(addressed)]
 
 
-def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_share: float = 0.99, rate: float = 0.02) -> list[tuple[str, bool, float]]:
+def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_share: float = 0.99) -> list[tuple[str, bool, float]]:
     """Terms ``(text, is stem, weight)`` from ``text, toxic``: of the texts they are in (each label weighed
-    alike) ``share`` or more are toxic, ``rate`` of the toxic texts have it (words of one much copied text do not count as a vocabulary), ``stem_share`` for a stem, and that is no chance: the likelihood
-    ratio statistic against the labels' own shares is one that less than one of all counted terms reaches."""
+    alike) ``share`` or more are toxic, ``stem_share`` for a stem, and that is no chance: the likelihood
+    ratio statistic against the labels' own shares is one that less than one of all counted terms reaches.
+    All such terms are taken. Equal texts of a label count once, so a much copied one is no vocabulary."""
+    texts = texts.dropDuplicates(["text", "toxic"])
 
     def kernel(batches):
         for batch in batches:
@@ -189,8 +190,8 @@ def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_sh
     both = F.col("bad") + F.col("good")
     part = lambda n, p: F.when(n > 0, n * F.ln(n / (both * p))).otherwise(F.lit(0.0))
     told = counted.withColumns({"share": bad / (bad + good), "surprise": 2 * (part(F.col("bad"), expected) + part(F.col("good"), max(1 - expected, 1e-9)))})
-    top = told.where((F.col("bad") >= rate * sizes[0]) & (F.col("surprise") >= float(surprise)) & (F.col("share") >= F.when(F.col("stem"), stem_share).otherwise(share)))
-    rows = top.orderBy(F.desc("bad"), F.desc("share"), "term", "stem").limit(LEXICON_TERMS).collect()
+    top = told.where((F.col("surprise") >= float(surprise)) & (F.col("share") >= F.when(F.col("stem"), stem_share).otherwise(share)))
+    rows = top.orderBy(F.desc("bad"), F.desc("share"), "term", "stem").collect()
     terms = [(r.term, r.stem, float(np.log(r.share / (1 - r.share) + 1))) for r in rows]
     stems = {t for t, s, _ in terms if s}
     # what a shorter stem already matches says nothing more

@@ -285,6 +285,23 @@ def test_held_out_accuracy(spark, query, label, least):
     assert n > 300 and right >= least * n
 
 
+def test_rare_terms_are_learned(spark):
+    texts = [(f"calm words about weather {k}", 0) for k in range(2000)]
+    texts += [(f"common{k % 50:02d}x insult number {k}", 1) for k in range(2000)] + [(f"zorkblat {k}", 1) for k in range(30)]
+    texts += [("copied verbatim everywhere", 1)] * 500
+    terms = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"), workspace(spark))
+    match = toxicity.Matcher(toxicity.Trie(terms))
+    found = lambda w: len(toxicity.hits(w, match)[1])
+    assert found("zorkblat") and found("insult") and not found("verbatim") and not found("weather")
+
+
+def test_lexicon_has_no_greatest_size(spark):
+    words = ["".join("bcdfghjklmnpqrst"[k >> s & 15] for s in (8, 4, 0)) for k in range(3500)]
+    texts = [(" ".join(words[j::10]) + f" {k}", 1) for k in range(600) for j in [k % 10]] + [(f"calm {k}", 0) for k in range(600)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"), workspace(spark))
+    assert set(words) <= {t for t, _, _ in terms}
+
+
 def test_prior_of_a_mixture():
     rng = np.random.default_rng(1)
     positive = rng.normal(2, 1, 4000)
