@@ -1,8 +1,9 @@
 """Toxicity: misspelled lexicon terms found by a Levenshtein automaton on a trie, weighed by their context.
 
 The lexicon is learned from labelled texts: words, and stems that many words begin with, that stand almost
-only in toxic ones. A word of a text is matched if the automaton of at most ``EDITS`` edits, run along the
-trie of all terms, accepts it. Each match is a hit whose context window tells abuse from quotation: marks
+only in toxic ones. A word of a text is matched if the automaton of the edits that a term's length allows
+(none below 5 characters, two from 8; a swap of neighbours is one), run along the trie of all terms, accepts it.
+In scripts without blanks terms are found unchanged at every place, one hit for a run of letters. Each match is a hit whose context window tells abuse from quotation: marks
 around it and words of report speak for a quotation, words of address for abuse. A small net turns hits into
 a score.
 """
@@ -19,83 +20,118 @@ from .common import Workspace
 from .learning import Scaler, held_out, logistic, seeded_first, sigmoid
 
 SAMPLE_ROWS = 10_000  # texts of either label that lexicon and net are learned from
-EDITS = 1
-FUZZY_FROM = 5  # characters a word of the lexicon needs to be matched with an edit, a stem one more
+EDITS = 2  # at most
+FUZZY_FROM, TWICE_FROM = 5, 8  # characters a word of the lexicon needs to be matched with an edit, or two; a stem one more
 STEMS = (4, 5, 6)
+UNSPACED = (2, 3, 4)  # characters of a term in a script without blanks, taken from any place
+MOST = "most"  # key of a trie node for the most edits of the terms below
 WINDOW = 8  # words on either side
 TABLE_ENTRIES = 500_000  # distinct words remembered per task
 FEATURES = ("abuse", "near", "quoted", "rate", "terms", "addressed")
 REPORT = frozenset("said says called word words quote quoted wrote writes term phrase dit mot sagte wort dijo palabra".split())
 ADDRESS = frozenset("you your youre u ur tu du vous sie usted te dich toi".split())
 _WORD = re.compile(r"[^\W_]+")
+# Thai, Lao, Myanmar, Khmer, kana and Han: words stand without blanks, so a token may be a clause
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _OPEN, _CLOSE = "“«„", "”»"
 
 
-def fuzzy(term: str, stem: bool) -> bool:
-    """Whether a term is long enough to be matched with an edit."""
-    return len(term) >= FUZZY_FROM + stem
+def edits_allowed(term: str, stem: bool) -> int:
+    """Edits that a term is matched with: by its length, a stem one character more."""
+    n = len(term) - stem
+    return 2 if n >= TWICE_FROM else 1 if n >= FUZZY_FROM else 0
 
 
 class Trie:
-    """Terms, each with a weight; a stem matches every word that begins with it."""
+    """Terms, each with a weight; a stem matches every word that begins with it. An edit puts in, takes out or
+    changes a character, or swaps two neighbours."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.root: dict = {}
         self.terms = terms
-        self.heads: dict[int, set[str]] = {}  # what a word must begin with
-        self.tails: dict[int, set[str]] = {}  # or end with
-        self.inner: dict[tuple[int, int], set[str]] = {}  # or have from some place on
+        self.allowed = [edits_allowed(t, s) for t, s, _ in terms]
+        self.longest = max((len(t) for t, _, _ in terms), default=0)
+        # strings of which a word has one at its place; by length of the word, 0 for a word of any length
+        self.parts: dict[int, dict[tuple[int, int], set[str]]] = {}
         for k, (term, stem, _) in enumerate(terms):
-            node = self.root
+            node, most = self.root, self.allowed[k]
             for ch in term:
                 node = node.setdefault(ch, {})
+                node[MOST] = max(node.get(MOST, 0), most)
             node.setdefault("", []).append(k)
-            half = (len(term) + 1) // 2 if fuzzy(term, stem) else len(term)
-            self.heads.setdefault(half, set()).add(term[:half])
-            rest = term[half:]
-            if rest and not stem:
-                self.tails.setdefault(len(rest), set()).add(rest)
-            elif rest:
-                for at in (half - 1, half, half + 1):
-                    self.inner.setdefault((at, at + len(rest)), set()).add(rest)
+            for length in [0] if stem else range(len(term) - most, len(term) + most + 1):
+                found = self.parts.setdefault(length, {})
+                for at, part in self._unchanged(term, most):
+                    # what ends the term ends the word, so its place follows from the length of the word
+                    tail = at + len(part) == len(term) and not stem
+                    places = [length - len(part)] if tail and at else [0] if not at else range(at - most, at + most + 1)
+                    for i in places:
+                        found.setdefault((i, i + len(part)), set()).add(part)
+
+    @staticmethod
+    def _unchanged(term: str, edits: int) -> list[tuple[int, str]]:
+        """Places and strings of which a word within ``edits`` has one: of ``edits + 1`` parts one has no edit,
+        unless a swap lies across a border; then, as the swap is one edit in two parts, the first or the last part
+        with that swap is whole."""
+        n = edits + 1
+        cuts = [len(term) * j // n for j in range(n + 1)]
+        out = [(a, term[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        if edits:
+            a, b = cuts[1], cuts[-2]
+            out.append((0, term[: a - 1] + term[a] + term[a - 1]))
+            out.append((b - 1, term[b] + term[b - 1] + term[b + 1 :]))
+        return out
 
     def possible(self, word: str) -> bool:
-        """Whether a term within one edit can exist: one of its halves is then in the word unchanged."""
-        for n, heads in self.heads.items():
-            if word[:n] in heads:
-                return True
-        for n, tails in self.tails.items():
-            if word[-n:] in tails:
-                return True
-        for (i, j), parts in self.inner.items():
-            if word[i:j] in parts:
-                return True
+        """Whether a term within its edits can exist."""
+        for length in (0, len(word)):
+            for (i, j), parts in self.parts.get(length, {}).items():
+                if word[max(i, 0) : j] in parts:
+                    return True
         return False
 
     def find(self, word: str) -> tuple[int, int] | None:
         """``(edits, term)`` of the closest term, the heaviest among equals: the automaton of the word, whose
         states are rows of edit distances, is fed the characters on the edges of the trie."""
         best = None
+        word = word[: self.longest + EDITS + 1]  # a term that matches a longer word is a stem and ends before
         n = len(word)
-        todo = [(self.root, tuple(range(n + 1)))]
+        todo = [(self.root, tuple(range(n + 1)), None, "")]
         while todo:
-            node, row = todo.pop()
+            node, row, before, last = todo.pop()
             for k in node.get("", ()):
                 _, stem, weight = self.terms[k]
                 edits = min(row) if stem else row[n]
-                most = EDITS if fuzzy(self.terms[k][0], stem) else 0
-                if edits <= most and (best is None or (edits, -weight) < best[:2]):
+                if edits <= self.allowed[k] and (best is None or (edits, -weight) < best[:2]):
                     best = (edits, -weight, k)
             for ch, child in node.items():
-                if ch == "":
+                if ch == "" or ch == MOST:
                     continue
                 new = [row[0] + 1]
                 for j in range(n):
-                    new.append(min(row[j] + (word[j] != ch), row[j + 1] + 1, new[j] + 1))
-                if min(new) <= EDITS:
-                    todo.append((child, tuple(new)))
+                    least = min(row[j] + (word[j] != ch), row[j + 1] + 1, new[j] + 1)
+                    if before is not None and j and word[j] == last and word[j - 1] == ch:
+                        least = min(least, before[j - 1] + 1)
+                    new.append(least)
+                # the character after may still undo a swap at the cost of one
+                if min(new) <= child[MOST] or min(row) < child[MOST]:
+                    todo.append((child, tuple(new), row, ch))
         return None if best is None else (best[0], best[2])
 
+    def find_inside(self, word: str) -> tuple[int, int] | None:
+        """``(0, term)`` of the heaviest term that stands unchanged at any place of a word."""
+        best = None
+        for start in range(len(word)):
+            node = self.root
+            for ch in word[start : start + self.longest]:
+                node = node.get(ch)
+                if node is None:
+                    break
+                for k in node.get("", ()):
+                    if best is None or self.terms[k][2] > self.terms[best][2]:
+                        best = k
+        return None if best is None else (0, best)
+
 
 class Matcher:
     """Matches of words, remembered."""
@@ -108,7 +144,11 @@ class Matcher:
         if len(self.seen) > TABLE_ENTRIES:
             self.seen, self.known = set(), {}
         for w in words - self.seen:
-            if 2 < len(w) < 64 and self.trie.possible(w) and (got := self.trie.find(w)) is not None:
+            if _UNSPACED.search(w):
+                got = self.trie.find_inside(w)
+            else:
+                got = self.trie.find(w) if len(w) > 2 and self.trie.possible(w) else None
+            if got is not None:
                 self.known[w] = got
         self.seen |= words
         return not self.known.keys().isdisjoint(words)
@@ -171,8 +211,9 @@ def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_sh
         for batch in batches:
             terms, marks = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {w.lower() for w in _WORD.findall(text or "") if len(w) < 64}
+                own = {w.lower() for w in _WORD.findall(text or "")}
                 found = {(w, False) for w in own if len(w) > 2} | {(w[:n], True) for w in own for n in STEMS if len(w) > n}
+                found |= {(w[i : i + n], True) for w in own if _UNSPACED.search(w) for n in UNSPACED for i in range(len(w) - n + 1)}
                 terms.extend(found)
                 marks.extend([toxic] * len(found))
             yield pa.RecordBatch.from_arrays(

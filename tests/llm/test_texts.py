@@ -285,6 +285,30 @@ def test_held_out_accuracy(spark, query, label, least):
     assert n > 300 and right >= least * n
 
 
+def test_toxicity_finds_common_misspellings():
+    terms = [("idiot", False, 5.0), ("worthless", False, 5.0), ("pathetic", False, 5.0), ("disgusting", False, 5.0), ("moron", True, 5.0), ("馬鹿", True, 5.0)]
+    match = toxicity.Matcher(toxicity.Trie(terms))
+    found = lambda w: [h["edits"] for h in toxicity.hits(w, match)[1]]
+    assert [found(w) for w in ("idoit", "wrothless", "patehtic", "disgutsing", "wrothles", "worhtlses")] == [[1], [1], [1], [1], [2], [2]]
+    assert found("moron" + "x" * 100) == [0] and found("あなたは馬鹿です") == [0] and found("素晴らしいです") == []
+    assert [found(w) for w in ("diot", "doit", "idtoi", "orthlss", "thetic")] == [[1], [], [], [2], [2]]
+
+
+def test_no_word_within_the_edits_is_sifted_out():
+    rng = random.Random(4)
+    for _ in range(6000):
+        stem = rng.random() < 0.4
+        term = "".join(rng.choice("abcd") for _ in range(rng.randint(3, 12)))
+        trie, word = toxicity.Trie([(term, stem, 1.0)]), term
+        for _ in range(2):
+            i, how = rng.randrange(len(word) - 1), rng.randrange(4)
+            word = word[:i] + ["", rng.choice("abcde"), word[i] + "e", word[i + 1] + word[i]][how] + word[i + (2 if how == 3 else 1) :]
+            if len(word) < 3:
+                break
+        word += rng.choice(["", "bcd"]) if stem else ""
+        assert trie.find(word) is None or trie.possible(word), (term, stem, word)
+
+
 def test_rare_terms_are_learned(spark):
     texts = [(f"calm words about weather {k}", 0) for k in range(2000)]
     texts += [(f"common{k % 50:02d}x insult number {k}", 1) for k in range(2000)] + [(f"zorkblat {k}", 1) for k in range(30)]
