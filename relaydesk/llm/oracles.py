@@ -91,4 +91,105 @@ SELECT doc_id, n_words::BIGINT AS n_words,
 FROM judged
 """
 
-ORACLES = {"op3_mixing": MIXING, "op4_topk": TOPK, "op8_warc": WARC, "op9_quality_rules": QUALITY_RULES}
+
+
+def _secrets() -> str:
+    """Matches of every rule by its pattern; their places follow from the lengths of what lies between."""
+    kinds = [  # kind, pattern, group that is the body (0: the whole), its least length, least length of the whole
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, 1),
+        ("access", "AKIA[A-Z0-9]+", 0, 1, 20),
+        ("hex", "[0-9a-f]+", 0, 1, 24),
+        ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 1, 40),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 1, 20),
+        ("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]+", 0, 1, 24),
+        ("google", "AIza[A-Za-z0-9_-]+", 0, 1, 39),
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, 40),
+        ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 16, 1),
+        ("login", "[a-z]+://([A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+!$=-]+@)", 1, 4, 1),
+        ("private", r"-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----(?:[A-Za-z0-9+/=\x0A\x0D\x20]+-----END\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----)?", 0, 1, 1),
+    ]
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = " UNION ALL ".join(
+        f"""SELECT n, {k} AS nth, '{kind}' AS kind, {least_body} AS least_body, {least} AS least,
+        regexp_extract_all(t, {quoted(pattern)}) AS found, regexp_extract_all(t, {quoted(pattern)}, {group}) AS bodies,
+        string_split_regex(t, {quoted(pattern)}) AS gaps FROM texts"""
+        for k, (kind, pattern, group, least_body, least) in enumerate(kinds))
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({parts}),
+placed AS (
+  SELECT n, nth, kind, least_body, least, unnest(range(1, len(found) + 1)) AS i, found, bodies, gaps FROM matches WHERE len(found) > 0),
+sized AS (
+  SELECT n, nth, kind, least_body, least, i, length(found[i]) AS whole, length(bodies[i]) AS body, length(gaps[i]) AS gap FROM placed),
+spans AS (
+  SELECT *, sum(gap + whole) OVER (PARTITION BY n, nth ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM sized),
+kept AS (
+  SELECT n, nth, kind, stop - whole AS start, kind || ':' || (stop - whole)::BIGINT || ':' || stop::BIGINT AS said
+  FROM spans WHERE body >= least_body AND whole >= least),
+told AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(said, ',' ORDER BY start, nth) FILTER (nth < 3) AS base, string_agg(said, ',' ORDER BY start, nth) AS spans
+  FROM kept GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(told.spans, '') AS spans
+FROM texts LEFT JOIN told USING (n)
+"""
+
+
+RANKED = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+corpus AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS length FROM texts),
+counted AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, corpus GROUP BY term, docs),
+sized AS (SELECT doc_id, r, 100 - 90 + (90 * len(terms)::BIGINT * docs) // length AS m FROM texts, corpus WHERE len(terms) > 0),
+scored AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN counted USING (term) JOIN sized USING (r) GROUP BY item_id, r),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM scored JOIN sized USING (r) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(said ORDER BY pos) AS said FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, said, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda x: list_concat([ascii(x)::BIGINT], [-1 for _ in range(8)])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 6 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) AS said
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+paths AS (
+  SELECT conv_id, d AS depth, said[1:d] AS path, CASE WHEN d > 0 THEN length(said[d].text) ELSE 0 END AS chars, d = len(said) AS ends, len(said) AS size
+  FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY depth, path),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+told AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS top FROM told),
+subtrees AS (
+  SELECT path[1:top] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens FROM above GROUP BY 1)
+SELECT t.conv_id, t.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, t.n_convs::BIGINT AS n_convs, t.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, t.ends_sha256
+FROM told t JOIN subtrees s ON s.path = t.path LEFT JOIN nodes p ON t.depth > 0 AND p.depth = t.depth - 1 AND p.path = t.path[1:t.depth - 1]
+"""
+
+ORACLES = {"op3_mixing": MIXING, "op4_topk": TOPK, "op8_warc": WARC, "op9_quality_rules": QUALITY_RULES, "op11_secrets": _secrets(),
+           "op12_ranked": RANKED, "op13_prefix_trie": PREFIX_TRIE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import forest, language, mixing, pieces, quality_model, quality_rules, suffixes, topk, toxicity, warc
+from . import forest, language, mixing, pieces, quality_model, quality_rules, ranked, secrets, suffixes, topk, toxicity, trie, warc
 from .common import read, workspace
 
 REGISTRY = {}
@@ -80,3 +80,18 @@ def op9_quality_rules(spark, d):
 @query
 def op10_quality_model(spark, d):
     return quality_model.score(read(spark, d, "documents"), read(spark, d, "labels"), workspace(spark))
+
+
+@query
+def op11_secrets(spark, d):
+    return secrets.digests(read(spark, d, "documents"))
+
+
+@query
+def op12_ranked(spark, d):
+    return ranked.rank(read(spark, d, "documents"), read(spark, d, "benchmark"), workspace(spark))
+
+
+@query
+def op13_prefix_trie(spark, d):
+    return trie.nodes(read(spark, d, "conversations"), workspace(spark))
