@@ -106,11 +106,6 @@ def _scan(rows: DataFrame, words: list[str]) -> DataFrame:
     return rows.mapInArrow(kernel, "doc_id bigint, n bigint, term array<int>, tf array<bigint>")
 
 
-def _best(scores, ids, unknown, k):
-    """Positions of the best k: higher score, smaller id, unknown ids last."""
-    return np.lexsort((ids, unknown, -scores))[:k]
-
-
 def _score(counted: DataFrame, block: _Block, weights: np.ndarray, n_docs: int, length: int, k: int) -> DataFrame:
     """``item, doc_id, score``: of every task the best k documents of each item."""
     items, of, starts = len(block.items), block.of, block.at
@@ -123,8 +118,8 @@ def _score(counted: DataFrame, block: _Block, weights: np.ndarray, n_docs: int,
         def merged(parts):
             s, i, u, o = (np.concatenate([p[j] for p in parts]) for j in range(4))
             order = np.lexsort((i, u, -s, o))
-            o = o[order]
-            kept = order[np.arange(len(o)) - np.searchsorted(o, o) < k]
+            grouped = o[order]
+            kept = order[np.arange(len(o)) - np.searchsorted(grouped, grouped) < k]
             s, i, u, o = s[kept], i[kept], u[kept], o[kept]
             full = np.flatnonzero(np.bincount(o, minlength=items) >= k)
             floor[full] = s[np.searchsorted(o, full) + k - 1]
