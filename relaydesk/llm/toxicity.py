@@ -2,10 +2,13 @@
 
 The lexicon is learned from labelled texts: words, and stems that many words begin with, that stand almost
 only in toxic ones. A word of a text is matched if the automaton of the edits that a term's length allows
-(none below 5 characters, two from 8; a swap of neighbours is one), run along the trie of all terms, accepts it.
-In scripts without blanks terms are found unchanged at every place, one hit for a run of letters. Each match is a hit whose context window tells abuse from quotation: marks
-around it and words of report speak for a quotation, words of address for abuse. A small net turns hits into
-a score.
+(none below 5 characters, two from 8; a swap of neighbours is one), intersected with the trie of all terms,
+accepts it. The intersection is made deterministic as words need it and its transitions are kept, so a word costs
+one look-up per character until no term can follow. What edits may match is learned too: a term whose edited forms
+clean texts hold takes none, and words that clean texts hold are no misspellings.
+In scripts without blanks terms are found unchanged at every place, one hit for a run of letters. Each match is a
+hit whose context window tells abuse from quotation: marks around it and words of report speak for a quotation,
+words of address for abuse. A small net turns hits into a score.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ EDITS = 2  # at most
 FUZZY_FROM, TWICE_FROM = 5, 8  # characters a word of the lexicon needs to be matched with an edit, or two; a stem one more
 STEMS = (4, 5, 6)
 UNSPACED = (2, 3, 4)  # characters of a term in a script without blanks, taken from any place
-MOST = "most"  # key of a trie node for the most edits of the terms below
+STANDS_FOR = 0.5  # share of a stem's toxic texts that a word needs to be kept beside it, for its edits
+CLEAN_EDITS = 2000  # a term takes edits if at most one in so many clean texts has an edited form of it
+CLEAN_FORMS = 5  # and if clean texts have at most so many different ones
+EDIT_TRUST = 0.8  # weight of a hit per edit
+STATES = 200_000  # of the automaton, kept at once
 WINDOW = 8  # words on either side
 TABLE_ENTRIES = 500_000  # distinct words remembered per task
-FEATURES = ("abuse", "near", "quoted", "rate", "terms", "addressed")
+FEATURES = ("abuse", "quoted", "rate", "terms", "addressed")
 REPORT = frozenset("said says called word words quote quoted wrote writes term phrase dit mot sagte wort dijo palabra".split())
 ADDRESS = frozenset("you your youre u ur tu du vous sie usted te dich toi".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -44,90 +51,101 @@ def edits_allowed(term: str, stem: bool) -> int:
 
 class Trie:
     """Terms, each with a weight; a stem matches every word that begins with it. An edit puts in, takes out or
-    changes a character, or swaps two neighbours."""
+    changes a character, or swaps two neighbours. ``limits`` says of the number of a term how many edits it takes
+    at most; words in ``plain`` are matched only unchanged."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
-        self.root: dict = {}
-        self.terms = terms
-        self.allowed = [edits_allowed(t, s) for t, s, _ in terms]
+    def __init__(self, terms: list[tuple[str, bool, float]], limits: dict[int, int] | None = None, plain: frozenset[str] = frozenset()):
+        self.terms, self.plain = terms, plain
+        self.allowed = [min(edits_allowed(t, s), (limits or {}).get(k, EDITS)) for k, (t, s, _) in enumerate(terms)]
         self.longest = max((len(t) for t, _, _ in terms), default=0)
-        # strings of which a word has one at its place; by length of the word, 0 for a word of any length
-        self.parts: dict[int, dict[tuple[int, int], set[str]]] = {}
-        for k, (term, stem, _) in enumerate(terms):
-            node, most = self.root, self.allowed[k]
+        self.kids: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        self.most = [0]  # edits of the terms below a node
+        for k, (term, _, _) in enumerate(terms):
+            node = 0
+            self.most[0] = max(self.most[0], self.allowed[k])
             for ch in term:
-                node = node.setdefault(ch, {})
-                node[MOST] = max(node.get(MOST, 0), most)
-            node.setdefault("", []).append(k)
-            for length in [0] if stem else range(len(term) - most, len(term) + most + 1):
-                found = self.parts.setdefault(length, {})
-                for at, part in self._unchanged(term, most):
-                    # what ends the term ends the word, so its place follows from the length of the word
-                    tail = at + len(part) == len(term) and not stem
-                    places = [length - len(part)] if tail and at else [0] if not at else range(at - most, at + most + 1)
-                    for i in places:
-                        found.setdefault((i, i + len(part)), set()).add(part)
-
-    @staticmethod
-    def _unchanged(term: str, edits: int) -> list[tuple[int, str]]:
-        """Places and strings of which a word within ``edits`` has one: of ``edits + 1`` parts one has no edit,
-        unless a swap lies across a border; then, as the swap is one edit in two parts, the first or the last part
-        with that swap is whole."""
-        n = edits + 1
-        cuts = [len(term) * j // n for j in range(n + 1)]
-        out = [(a, term[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        if edits:
-            a, b = cuts[1], cuts[-2]
-            out.append((0, term[: a - 1] + term[a] + term[a - 1]))
-            out.append((b - 1, term[b] + term[b - 1] + term[b + 1 :]))
+                if ch not in self.kids[node]:
+                    self.kids[node][ch] = len(self.kids)
+                    self.kids.append({})
+                    self.ends.append([])
+                    self.most.append(0)
+                node = self.kids[node][ch]
+                self.most[node] = max(self.most[node], self.allowed[k])
+            self.ends[node].append(k)
+        self._restart()
+
+    def _restart(self):
+        reached: dict = {}
+        self._put(reached, 0, 0)
+        self.states: dict = {}
+        self.begin = self._state(reached)
+
+    def _put(self, reached: dict, node: int, edits: int):
+        """A node reached with so many edits, and by leaving out characters those below it."""
+        if edits <= self.most[node] and edits < reached.get((node, ""), EDITS + 1):
+            reached[node, ""] = edits
+            if edits < self.most[node]:
+                for kid in self.kids[node].values():
+                    self._put(reached, kid, edits + 1)
+
+    def _state(self, reached: dict) -> list:
+        """``[nodes with their edits, moves, best term if the word ends here, best stem]``, one list per set of nodes."""
+        key = frozenset(reached.items())
+        state = self.states.get(key)
+        if state is None:
+            whole = [(e, -self.terms[k][2], k) for (node, swap), e in key if not swap for k in self.ends[node] if e <= self.allowed[k]]
+            state = self.states[key] = [key, {}, min(whole, default=None), min((w for w in whole if self.terms[w[2]][1]), default=None)]
+        return state
+
+    def _step(self, state: list, ch: str) -> list:
+        reached: dict = {}
+        for (node, swap), edits in state[0]:
+            if swap:  # one half of a swap was read
+                if swap == ch:
+                    self._put(reached, node, edits)
+                continue
+            kids = self.kids[node]
+            if ch in kids:
+                self._put(reached, kids[ch], edits)
+            if edits < self.most[node]:
+                self._put(reached, node, edits + 1)
+                for other, kid in kids.items():
+                    if other != ch:
+                        self._put(reached, kid, edits + 1)
+                        after = self.kids[kid].get(ch)
+                        if after is not None and edits < self.most[after]:
+                            reached[after, other] = min(edits + 1, reached.get((after, other), EDITS + 1))
+        state[1][ch] = out = self._state(reached)
         return out
 
-    def possible(self, word: str) -> bool:
-        """Whether a term within its edits can exist."""
-        for length in (0, len(word)):
-            for (i, j), parts in self.parts.get(length, {}).items():
-                if word[max(i, 0) : j] in parts:
-                    return True
-        return False
-
     def find(self, word: str) -> tuple[int, int] | None:
-        """``(edits, term)`` of the closest term, the heaviest among equals: the automaton of the word, whose
-        states are rows of edit distances, is fed the characters on the edges of the trie."""
-        best = None
-        word = word[: self.longest + EDITS + 1]  # a term that matches a longer word is a stem and ends before
-        n = len(word)
-        todo = [(self.root, tuple(range(n + 1)), None, "")]
-        while todo:
-            node, row, before, last = todo.pop()
-            for k in node.get("", ()):
-                _, stem, weight = self.terms[k]
-                edits = min(row) if stem else row[n]
-                if edits <= self.allowed[k] and (best is None or (edits, -weight) < best[:2]):
-                    best = (edits, -weight, k)
-            for ch, child in node.items():
-                if ch == "" or ch == MOST:
-                    continue
-                new = [row[0] + 1]
-                for j in range(n):
-                    least = min(row[j] + (word[j] != ch), row[j + 1] + 1, new[j] + 1)
-                    if before is not None and j and word[j] == last and word[j - 1] == ch:
-                        least = min(least, before[j - 1] + 1)
-                    new.append(least)
-                # the character after may still undo a swap at the cost of one
-                if min(new) <= child[MOST] or min(row) < child[MOST]:
-                    todo.append((child, tuple(new), row, ch))
-        return None if best is None else (best[0], best[2])
+        """``(edits, term)`` of the closest term, the heaviest among equals."""
+        if len(self.states) > STATES:
+            self._restart()
+        state, best = self.begin, None
+        for ch in word:
+            state = state[1].get(ch) or self._step(state, ch)
+            if state[3] is not None and (best is None or state[3] < best):
+                best = state[3]
+            if not state[0]:
+                break
+        if state[2] is not None and (best is None or state[2] < best):
+            best = state[2]
+        if best is None or best[0] and word in self.plain:
+            return None
+        return best[0], best[2]
 
     def find_inside(self, word: str) -> tuple[int, int] | None:
         """``(0, term)`` of the heaviest term that stands unchanged at any place of a word."""
         best = None
         for start in range(len(word)):
-            node = self.root
+            node = 0
             for ch in word[start : start + self.longest]:
-                node = node.get(ch)
+                node = self.kids[node].get(ch)
                 if node is None:
                     break
-                for k in node.get("", ()):
+                for k in self.ends[node]:
                     if best is None or self.terms[k][2] > self.terms[best][2]:
                         best = k
         return None if best is None else (0, best)
@@ -147,7 +165,7 @@ class Matcher:
             if _UNSPACED.search(w):
                 got = self.trie.find_inside(w)
             else:
-                got = self.trie.find(w) if len(w) > 2 and self.trie.possible(w) else None
+                got = self.trie.find(w) if len(w) > 2 else None
             if got is not None:
                 self.known[w] = got
         self.seen |= words
@@ -186,18 +204,15 @@ def hits(text: str, match: Matcher) -> tuple[int, list[dict]]:
 
 
 def _row(n_words: int, found: list[dict], weights: np.ndarray) -> list[float]:
-    abuse = near = quoted = addressed = 0.0
+    abuse = quoted = addressed = 0.0
     for h in found:
-        w = weights[h["term"]]
+        w = weights[h["term"]] * EDIT_TRUST ** h["edits"]
         if h["quoted"] or h["report"] and not h["address"]:
             quoted += w
-        elif h["edits"]:
-            near += w
         else:
             abuse += w
         addressed += h["address"]
-    strong = abuse + near
-    return [np.log1p(abuse), np.log1p(near), np.log1p(quoted), np.log1p(100.0 * strong / max(n_words, 1)), np.log1p(len({h["term"] for h in found})), np.log1p(addressed)]
+    return [np.log1p(abuse), np.log1p(quoted), np.log1p(100.0 * abuse / max(n_words, 1)), np.log1p(len({h["term"] for h in found})), np.log1p(addressed)]
 
 
 def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_share: float = 0.99) -> list[tuple[str, bool, float]]:
@@ -234,10 +249,54 @@ def learn_lexicon(texts: DataFrame, work: Workspace, share: float = 0.9, stem_sh
     top = told.where((F.col("surprise") >= float(surprise)) & (F.col("share") >= F.when(F.col("stem"), stem_share).otherwise(share)))
     rows = top.orderBy(F.desc("bad"), F.desc("share"), "term", "stem").collect()
     terms = [(r.term, r.stem, float(np.log(r.share / (1 - r.share) + 1))) for r in rows]
-    stems = {t for t, s, _ in terms if s}
-    # what a shorter stem already matches says nothing more
-    covered = lambda t, s: any(t[:n] in stems and (n < len(t) or not s) for n in STEMS if n <= len(t))
-    return [(t, s, w) for t, s, w in terms if not covered(t, s)]
+    stems = {r.term: r.bad for r in rows if r.stem}
+    words = {r.term: r.bad for r in rows if not r.stem}
+
+    def said(term: str, stem: bool) -> bool:
+        """Whether a shorter stem matches all that a term does; not if the word is what its stem stands for."""
+        above = [term[:n] for n in STEMS if n <= len(term) and term[:n] in stems and (n < len(term) or not stem)]
+        return bool(above) and (stem or words[term] < STANDS_FOR * max(stems[t] for t in above))
+
+    return [(t, s, w) for t, s, w in terms if not said(t, s)]
+
+
+def settle_edits(texts: DataFrame, terms: list[tuple[str, bool, float]], work: Workspace, share: float = 0.9) -> tuple[dict[int, int], frozenset[str]]:
+    """How many edits each term takes where that is less than its length allows, and the words that are no
+    misspellings of any.
+
+    Words that match with edits are counted in ``text, toxic``. Those that clean texts hold are ordinary words.
+    How many more of them other clean texts will hold is told by those seen in one clean text only: a term takes
+    so many edits if such words are in at most one clean text of ``CLEAN_EDITS``, or in so few that ``share`` of
+    what it matches is toxic (each label weighed alike), and if the ordinary words around it are few.
+    """
+    trie = Trie(terms)
+
+    def kernel(batches):
+        match = Matcher(trie)
+        for batch in batches:
+            found: list[tuple] = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set(_WORD.findall((text or "").lower()))
+                match.learn(own)
+                found.extend((*match.known[w], w, toxic) for w in own & match.known.keys() if match.known[w][0])
+            columns = list(zip(*found)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64()))], ["edits", "term", "word", "toxic"])
+
+    sizes = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    forms = work.stage("forms", texts.select("text", F.col("toxic").cast("long")).mapInArrow(kernel, "edits int, term int, word string, toxic bigint").groupBy("term", "edits", "word").agg(
+        F.sum(1 - F.col("toxic")).alias("good"), F.sum("toxic").alias("bad")))
+    once = F.count_if(F.col("good") == 1)
+    per_good, per_bad = once / max(sizes[1], 1), F.sum("bad") / max(sizes[0], 1)
+    loses = (once * CLEAN_EDITS > sizes[1]) & (once > 1) & (per_bad < share * (per_bad + per_good)) | (F.count_if(F.col("good") > 0) > CLEAN_FORMS)
+    limits: dict[int, int] = {}
+    for r in forms.groupBy("term", "edits").agg(loses.alias("loses")).where("loses").collect():  # two rows per term at most
+        limits[r.term] = min(limits.get(r.term, EDITS), r.edits - 1)
+    kept = [(k, e) for k, (t, s, _) in enumerate(terms) for e in range(1, min(edits_allowed(t, s), limits.get(k, EDITS)) + 1)]
+    if not kept:
+        return limits, frozenset()
+    # as many words as the bounded sample holds at most
+    plain = forms.where("good > 0").join(F.broadcast(work.spark.createDataFrame(kept, "term int, edits int")), ["term", "edits"])
+    return limits, frozenset(r.word for r in plain.select("word").distinct().collect())
 
 
 def score(docs: DataFrame, labels: DataFrame, work: Workspace, folds: int = 5, fold: int = 0, sample_rows: int = SAMPLE_ROWS, seed: int = 42,
@@ -258,7 +317,7 @@ def score(docs: DataFrame, labels: DataFrame, work: Workspace, folds: int = 5, f
     texts = work.stage("sample", docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
     terms = learn_lexicon(texts, work)
     weights = np.array([w for _, _, w in terms] or [0.0])
-    trie = Trie(terms)
+    trie = Trie(terms, *settle_edits(texts, terms, work))
 
     def measure(batches):
         match = Matcher(trie)

@@ -294,19 +294,63 @@ def test_toxicity_finds_common_misspellings():
     assert [found(w) for w in ("diot", "doit", "idtoi", "orthlss", "thetic")] == [[1], [], [], [2], [2]]
 
 
-def test_no_word_within_the_edits_is_sifted_out():
+def plain_distance(a, b):
+    """Edits between two words by the whole table; a swap of neighbours is one."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_automaton_equals_plain_edit_distance():
     rng = random.Random(4)
-    for _ in range(6000):
-        stem = rng.random() < 0.4
-        term = "".join(rng.choice("abcd") for _ in range(rng.randint(3, 12)))
-        trie, word = toxicity.Trie([(term, stem, 1.0)]), term
-        for _ in range(2):
-            i, how = rng.randrange(len(word) - 1), rng.randrange(4)
-            word = word[:i] + ["", rng.choice("abcde"), word[i] + "e", word[i + 1] + word[i]][how] + word[i + (2 if how == 3 else 1) :]
-            if len(word) < 3:
-                break
-        word += rng.choice(["", "bcd"]) if stem else ""
-        assert trie.find(word) is None or trie.possible(word), (term, stem, word)
+    for _ in range(400):
+        terms = [("".join(rng.choice("abcd") for _ in range(rng.randint(3, 11))), rng.random() < 0.4, float(k + 1)) for k in range(rng.randint(1, 6))]
+        trie = toxicity.Trie(terms)
+        for _ in range(15):
+            word = rng.choice(terms)[0]
+            for _ in range(rng.randrange(4)):
+                i, how = rng.randrange(max(len(word) - 1, 1)), rng.randrange(4)
+                word = (word[:i] + ["", rng.choice("abcde"), word[i] + "e", word[i + 1 : i + 2] + word[i]][how] + word[i + (2 if how == 3 else 1) :]) or "a"
+            word += rng.choice(["", "bcd"])
+            near = []
+            for k, (term, stem, weight) in enumerate(terms):
+                edits = min(plain_distance(word[:n], term) for n in range(len(word) + 1)) if stem else plain_distance(word, term)
+                if edits <= toxicity.edits_allowed(term, stem):
+                    near.append((edits, -weight, k))
+            want = min(near, default=None)
+            assert trie.find(word) == (want and (want[0], want[2])), (terms, word)
+
+
+def test_edits_of_the_learned_lexicon(spark):
+    """On given tables: misspelled insults are found with what was learned, ordinary words are not."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    calm = docs.join(labels.where("toxic = 0 AND quality = 1"), "doc_id").orderBy("doc_id").first().text[:600]
+    more = [(-1, calm), (-2, calm + " You idoit."), (-3, calm + " You idiot."), (-4, calm + " what a patehtic wrothless thing you are"), (-5, calm + ' He wrote "idiot" once.')]
+    told = toxicity.score(docs.union(spark.createDataFrame(more, docs.schema)), labels, workspace(spark))
+    score = {r.doc_id: (r.score, r.hits) for r in told.where("doc_id < 0").collect()}
+    assert score[-1][1] == 0 and score[-1][0] < 0.1
+    assert score[-2][1] == 1 and score[-2][0] > 0.5 and score[-3][0] > 0.5 and score[-4][1] == 2 and score[-4][0] > 0.5
+    assert score[-5][0] < score[-3][0]
+    judged = told.join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p"), F.count("*").alias("n")).collect()
+    rate = {r.toxic: r.p for r in judged if r.n > 50}
+    assert rate[0] <= 0.01 and rate[1] >= 0.85
+
+
+def test_terms_whose_edited_forms_are_ordinary_take_no_edits(spark):
+    texts = [(f"plante{c} planter {k}", 0) for k, c in enumerate("abcdfghijklmno")] + [("grumbler", 0), ("grumbler", 0), ("mistakeanly", 0), ("mistakeably", 0)]
+    texts += [(f"plantex grumblen mistakenly {k}", 1) for k in range(300)]
+    terms = [("plantex", False, 5.0), ("grumblen", False, 5.0), ("mistakenly", False, 5.0)]
+    limits, plain = toxicity.settle_edits(spark.createDataFrame(texts, "text string, toxic int"), terms, workspace(spark))
+    assert limits == {0: 0} and plain == {"grumbler", "mistakeanly", "mistakeably"}  # one with one edit, one with two
+    trie = toxicity.Trie(terms, limits, plain)
+    assert [trie.find(w) for w in ("planter", "plantex", "grumbler", "grumblex", "grumblen")] == [None, (0, 0), None, (1, 1), (0, 1)]
+    assert toxicity.Trie(terms, {2: 1}).find("mistakeably") is None and toxicity.Trie(terms).find("mistakeably") == (2, 2)
 
 
 def test_rare_terms_are_learned(spark):
