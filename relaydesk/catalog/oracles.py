@@ -301,6 +301,39 @@ JUDGE_JSON = f"""(SELECT doc_id, least(5, greatest(1, trunc(json_extract(j, '$.f
     NOT (doc_id % 5 = 0 OR doc_id % 11 = 0 OR (doc_id % 13 = 0 AND doc_id % 4 > 1)) AS ok FROM {RAW_REPLIES})"""
 
 
+def term_vectors(source, queries=None) -> str:
+    """Unit TF-IDF vectors ``v (side, id, term, w)`` of ``(id, text)`` rows, the terms weighed by the first source."""
+    terms = r"regexp_extract_all(lower(coalesce(text, '')), '[\pL\pM\p{Nd}\p{Pc}]{2,}')"
+    both = f"SELECT 'base' AS side, id, text FROM {source}" + (f" UNION ALL SELECT 'query', id, text FROM {queries}" if queries else "")
+    return f"""
+      rows_of AS ({both}),
+      n AS (SELECT count(*)::DOUBLE AS n FROM rows_of WHERE side = 'base'),
+      tf AS (SELECT side, id, term, count(*) AS tf FROM (SELECT side, id, unnest({terms}) AS term FROM rows_of) GROUP BY ALL),
+      df AS (SELECT term, count(*) AS df FROM tf WHERE side = 'base' GROUP BY 1),
+      raw AS (SELECT side, id, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tf LEFT JOIN df USING (term), n),
+      v AS (SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS w FROM raw)"""
+
+
+def retrieval(source, queries, k, exclude_self=False) -> str:
+    return f"""WITH {term_vectors(source, queries)},
+      s AS (SELECT a.id AS query_id, b.id AS id, round(sum(a.w * b.w), 9) AS sim FROM v a JOIN v b ON a.term = b.term AND a.side = 'query' AND b.side = 'base'
+            {"AND a.id <> b.id" if exclude_self else ""} GROUP BY 1, 2)
+      SELECT query_id, id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INT AS rank FROM s
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= {k}"""
+
+
+def longest_common() -> str:
+    """ROUGE-L: the table of longest common subsequences, a row of it per step of the recursion."""
+    return f"""WITH RECURSIVE t AS (SELECT id, {ALNUM.format('response')} AS h, {ALNUM.format('reference')} AS r FROM {REPLIES}),
+      steps AS (
+        SELECT id, h, r, 0 AS i, list_transform(h, lambda x: 0) AS above FROM t
+        UNION ALL
+        SELECT id, h, r, i + 1, list_transform(range(1, len(h) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+          CASE WHEN h[k] = r[i + 1] THEN 1 + CASE WHEN k > 1 THEN above[k - 1] ELSE 0 END ELSE above[k] END)))
+        FROM steps WHERE i < len(r))
+      SELECT id, round(coalesce(2.0 * above[len(h)] / nullif(len(h) + len(r), 0), 0)::DOUBLE, 4) AS "rougeL" FROM steps WHERE i = len(r)"""
+
+
 def rouge(kind) -> str:
     toks = {"1": ALNUM, "2": ALNUM, "w": WORDS}[kind]
     def grams(col):
@@ -513,7 +546,13 @@ def oracle_sql() -> dict[str, str]:
             upper(lang[1]) || lang[2:] || ' ' || upper(source[1]) || source[2:] AS display FROM documents""",
         "json_roundtrip": "SELECT doc_id, quality, toxic FROM labels",
         "materialise_once": "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1",
-        "vectors_roundtrip": "SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 4) AS first_value FROM embeddings",
+        "vectors_roundtrip": """SELECT vec_id AS id, label, generate_subscripts(embedding, 1)::INT - 1 AS place,
+            round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings""",
+        "kb_index": f"""WITH {term_vectors("kb_texts").replace("rows_of AS", f"kb_texts AS (SELECT min(id) AS id, msg AS text FROM {PAIRS} GROUP BY msg), rows_of AS", 1)}
+            SELECT id, term, round(w, 6) AS weight FROM v""",
+        "text_retrieval": retrieval("(SELECT doc_id AS id, text FROM documents)", "(SELECT item_id AS id, text FROM benchmark)", 3),
+        "text_retrieval_appended": retrieval("(SELECT doc_id AS id, text FROM documents)", "(SELECT doc_id AS id, text FROM documents WHERE doc_id % 20 = 0)", 5, True),
+        "rouge_l": longest_common(),
         "agent_results": f"""WITH {AGENT_METRICS} SELECT agent, metric, value FROM
             (UNPIVOT w ON accuracy, macro_f1, false_auto_handle_rate INTO NAME metric VALUE value)""",
         "stream_first_seen": "SELECT DISTINCT md5(text) AS msg_md5 FROM documents",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..operators import (
-    datasets, escalation, intents, metrics, neighbours, overlap, replies, rubric, sampling, textmodel,
+    datasets, escalation, intents, metrics, neighbours, overlap, replies, rubric, sampling, sparse_index, textmodel,
     transcripts,
 )
 from ..plans import evaluate, prepare, run
@@ -20,7 +20,8 @@ from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming import live
 from .inputs import (
-    PACK, SOURCE_MAP, documents, labelled_docs, language_guesses, messages, pairs, read, reply_pairs, turns, vectors,
+    PACK, SOURCE_MAP, documents, labelled_docs, language_guesses, messages, pairs, read, reply_pairs, turn_id, turns,
+    vectors,
 )
 from .inputs import transcripts as raw_transcripts
 
@@ -643,18 +644,34 @@ def tfidf_terms(spark, d):
 
 @query
 def kb_index(spark, d):
-    kb = transcripts.build_knowledge_base(pairs(spark, d)).withColumn("id", F.col("id").cast("string"))
-    encoder = textmodel.fit_encoder(kb, "customer_query")
-    return textmodel.encode(kb, encoder, "customer_query").select("id", F.size("vec").alias("dims"))
+    """The stored vectors of the knowledge base, term by term."""
+    kb = transcripts.build_knowledge_base(pairs(spark, d))
+    index = sparse_index.build(kb, Workspace(spark).path("index"), "id", "customer_query")
+    return sparse_index.open_index(spark, index.root).named_vectors().select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+def _passages(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query
 def text_retrieval(spark, d):
-    """Held-out benchmark passages against all documents."""
-    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    encoder = textmodel.fit_encoder(docs)
-    return neighbours.nearest(textmodel.encode(items, encoder, "text"), textmodel.encode(docs, encoder, "text"), 3)
+    """Benchmark passages against all documents, through a stored index."""
+    work = Workspace(spark)
+    index = sparse_index.build(documents(spark, d), work.path("index"), "doc_id")
+    return sparse_index.search(index, _passages(spark, d), 3, work).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def text_retrieval_appended(spark, d):
+    """The same from an index that was stored in two batches and opened again, with its own rows as queries."""
+    work, docs = Workspace(spark), documents(spark, d)
+    early = F.pmod(F.col("doc_id"), F.lit(3)) == 0
+    index = sparse_index.build(docs.where(early), work.path("index"), "doc_id", fit_on=docs)
+    index.append(docs.where(~early), "doc_id")
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    found = sparse_index.search(sparse_index.open_index(spark, index.root), asked, 5, work, exclude_self=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
@@ -748,7 +765,7 @@ def vectors_roundtrip(spark, d):
     v = vectors(spark, d)
     tables.write_vectors(v, work.path("vectors"))
     back = tables.read_vectors(spark, v.select("id", "label"), work.path("vectors"))
-    return back.select("id", "label", F.round(F.get("vec", F.lit(0)).cast("double"), 4).alias("first_value"))
+    return back.select("id", "label", F.posexplode("vec").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @query
@@ -804,7 +821,7 @@ def stream_triage(spark, d):
     prepared, work = _prepared(spark, d)
     resources = prepare.train(prepared, work, PACK, tfidf=False)
     arriving = _stream(spark, d, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+        turn_id("turn").alias("id"), "text")
     out = work.path("scored")
     live.triage_stream(arriving, PROPOSED, resources, out, work.path("scored_state")).awaitTermination()
     return spark.read.parquet(out).select("query_id", "intent", "escalation_decision", "risk_score")
