@@ -16,6 +16,19 @@ def seeded_first(rows: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(n)
 
 
+def seeded_few(rows: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
+    """The same rows, for a sample that is collected: all but about ``n`` are left out by their hash alone,
+    so what tasks send to order them does not grow with their number."""
+    total, spare = rows.count(), 6 * int(n**0.5) + 50
+    while total > 2 * (n + spare):
+        most = min(-(1 << 63) + (1 << 64) * (n + spare) // total, (1 << 63) - 1)
+        first = rows.where(F.xxhash64(F.lit(seed), F.col(id_col)) <= most)
+        if first.count() >= n:
+            return seeded_first(first, n, id_col, seed)
+        spare = 2 * spare + n  # chance, or much repeated ids
+    return seeded_first(rows, n, id_col, seed)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Workspace, text_pieces
 from .hashing import shingles, unique_per_row, words
-from .learning import Net, Scaler, held_out, logistic, minibatches, seeded_first, sigmoid
+from .learning import Net, Scaler, held_out, logistic, minibatches, seeded_few, sigmoid
 
 SAMPLE_ROWS = 20_000  # positives, and as many unlabelled rows, that the net is fitted on
 FEATURES = (
@@ -116,7 +116,7 @@ def score(docs: DataFrame, labels: DataFrame, work: Workspace, folds: int = 4, f
     told = work.stage("features", features(docs.select("doc_id", "text")).withColumn("held_out", held_out("doc_id", folds, fold)))
     known = labels.where(~held_out("doc_id", folds, fold) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = told.where(F.col("doc_id").isNotNull()).join(known, "doc_id", "left")
-    take = lambda part: np.array([r[0] for r in seeded_first(part.select("doc_id", "x"), sample_rows, "doc_id", seed).select("x").collect()], np.float64).reshape(-1, len(FEATURES))
+    take = lambda part: np.array([r[0] for r in seeded_few(part.select("doc_id", "x"), sample_rows, "doc_id", seed).select("x").collect()], np.float64).reshape(-1, len(FEATURES))
     positive, unlabelled = take(rows.where("quality = 1")), take(rows.where("quality IS NULL"))
     model = fit(positive, unlabelled, seed=seed)[:2] if len(positive) and len(unlabelled) else None
 

@@ -279,7 +279,8 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                 yield pa.RecordBatch.from_pylist(held, schema or _chunk_schema())
 
     files = manifest.select("file")
-    return files.repartition(F.col("file")).mapInArrow(kernel, CHUNKS)
+    # the number is given, or the short list of names would be merged into one task
+    return files.repartitionByRange(max(files.count(), 1), "file").mapInArrow(kernel, CHUNKS)
 
 
 def _chunk_schema() -> pa.Schema:

@@ -58,6 +58,9 @@ def test_archives_round_trip(spark, chunk, file):
     assert manifest.agg(F.sum("records")).first()[0] == len(PAGES)
     chunks = warc.read_chunks(manifest, chunk).collect()
     assert all(len(c.data) <= chunk for c in chunks)
+    read = warc.read_chunks(manifest, chunk)
+    busy = read.select(F.spark_partition_id()).distinct().count()
+    assert busy == manifest.count() and (file > 2000 or busy > 1)  # a task per archive
     payloads = collections.Counter()
     for key in {(c.page_id, c.record_type, c.payload_digest) for c in chunks if c.record_type == "response"}:
         own = [c for c in chunks if (c.page_id, c.record_type, c.payload_digest) == key]
@@ -148,3 +151,16 @@ def test_pipeline_of_nothing(spark):
 
 def test_every_operator_has_a_query():
     assert {k.split("_")[0] for k in queries.REGISTRY if k.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+
+
+# -- samples
+
+@pytest.mark.parametrize("n", [10, 200, 5000])
+def test_a_few_rows_are_the_first_of_all(spark, n):
+    from relaydesk.llm.learning import seeded_few, seeded_first
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"))
+    first = lambda how: sorted(r.doc_id for r in how(rows, n, "doc_id", 42).collect())
+    assert first(seeded_few) == first(seeded_first)
+    plan = seeded_few(spark.range(100_000), 100, "id", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (xxhash64" in plan
