@@ -553,6 +553,8 @@ def oracle_sql() -> dict[str, str]:
         "text_retrieval": retrieval("(SELECT doc_id AS id, text FROM documents)", "(SELECT item_id AS id, text FROM benchmark)", 3),
         "text_retrieval_appended": retrieval("(SELECT doc_id AS id, text FROM documents)", "(SELECT doc_id AS id, text FROM documents WHERE doc_id % 20 = 0)", 5, True),
         "rouge_l": longest_common(),
+        "knn_index_recall": """SELECT count(*) FILTER (vec_id % 20 = 0) AS n_queries,
+            count(*) FILTER (vec_id % 20 = 0) * least(5, count(*) - 1) AS n_neighbours, true AS reached FROM embeddings""",
         "agent_results": f"""WITH {AGENT_METRICS} SELECT agent, metric, value FROM
             (UNPIVOT w ON accuracy, macro_f1, false_auto_handle_rate INTO NAME metric VALUE value)""",
         "stream_first_seen": "SELECT DISTINCT md5(text) AS msg_md5 FROM documents",

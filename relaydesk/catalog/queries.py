@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..operators import (
-    datasets, escalation, intents, metrics, neighbours, overlap, replies, rubric, sampling, sparse_index, textmodel,
+    datasets, dense_index, escalation, intents, metrics, neighbours, overlap, replies, rubric, sampling, sparse_index, textmodel,
     transcripts,
 )
 from ..plans import evaluate, prepare, run
@@ -642,6 +642,18 @@ def tfidf_terms(spark, d):
     return textmodel.heaviest_terms(model, docs, "lang", 10)
 
 
+@query
+def knn_index_recall(spark, d):
+    """Cells and codes against the exact search, for every twentieth vector."""
+    work, base = Workspace(spark), vectors(spark, d).select("id", "vec")
+    asked = base.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
+    index = dense_index.build(base, work.path("cells"))
+    found = dense_index.search(dense_index.open_index(spark, index.root), asked, 5, probes=30, keep=30, exclude_self=True)
+    wanted = neighbours.nearest(asked, base, 5, exclude_self=True)
+    both = wanted.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query
 def kb_index(spark, d):
     """The stored vectors of the knowledge base, term by term."""
