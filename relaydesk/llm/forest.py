@@ -3,10 +3,14 @@
 1. A text is its set of ``words``-word shingles. Equal sets form one class with a count of its documents,
    however many; one document stands for it from here on.
 2. The class has a MinHash signature of ``trees`` times ``depth`` values. In every tree the signatures are
-   sorted as a trie; two classes are candidates if they share a prefix. The matched prefix is shortened from
-   the full depth until a pair at the threshold is met in some tree with probability ``recall``.
-3. The members of a trie node that the whole signatures put above ``LOOSE`` are linked loosely. Components
-   of these links hold all pairs that can be above the threshold, and almost only those.
+   sorted as a trie; two classes are candidates if they share a prefix, that is a node. The matched prefix
+   starts at the full depth and is shortened by one value at a time. Each step meets the members of different
+   children of a node; those of one child have met at the step before.
+3. Two members of a node are linked loosely if so many values of their whole signatures are equal that a pair
+   at the threshold falls below with probability ``LOST`` only. The least alike of the pairs found that look
+   to be at the threshold or above decides on the next step: shortening ends once a pair of its similarity is
+   met with probability ``recall``. Without any it goes on, at most until that holds for every pair at the threshold.
+   Components of the loose links hold all pairs that can be above the threshold, and almost only those.
 4. Per component all pairs are verified exactly. A component is dealt into blocks of bounded size; a task
    takes a pair of blocks and returns per member a count of links and the smallest member it hangs on.
 
@@ -15,6 +19,8 @@ No pairs are ever rows: a class has as many rows as it has trie nodes with compa
 
 from __future__ import annotations
 
+from math import ceil, comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,18 +34,35 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 5
 RECALL = 0.9999
-LOOSE = 0.5  # of signature values equal; 80 values of a pair at 0.8 fall below with probability 1e-9
+LOST = 1e-9  # probability that the signatures hide a pair at the threshold
 NODE_ROWS = 1024  # members of a trie node in one block
 BLOCK_SHINGLES = 1 << 20  # of the sets in one block
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix, at most ``depth``, by which a pair at the threshold is met with probability
-    ``recall``; shortened one value at a time, 1 at least."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def met_share(similarity: float, trees: int, match: int) -> float:
+    """Probability that a pair of this similarity shares a prefix of ``match`` values in some tree."""
+    return 1 - (1 - similarity**match) ** trees
+
+
+def shortest_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix, at most ``depth``, by which any pair at the threshold is met with probability
+    ``recall``: the matched prefix is never shortened beyond it. Refused if one value is too long already."""
+    for match in range(depth, 0, -1):
+        if met_share(threshold, trees, match) >= recall:
+            return match
+    raise ValueError(f"{trees} trees meet pairs at {threshold} with probability {met_share(threshold, trees, 1):.4f}, not {recall}: ask for more trees")
+
+
+def loose_bar(threshold: float, size: int, lost: float = LOST) -> int:
+    """The greatest number of equal values, of ``size``, that a pair at the threshold falls below with
+    probability ``lost`` at most; 1 at least."""
+    below = 0.0
+    for equal in range(size + 1):
+        below += comb(size, equal) * threshold**equal * (1 - threshold) ** (size - equal)
+        if below > lost:
+            return max(equal, 1)
+    return size
 
 
 def signatures(hashes: np.ndarray, rows: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -85,19 +108,24 @@ def _profile(docs: DataFrame, words: int, size: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, trees: int, depth: int, match: int) -> DataFrame:
-    """``row, tree, prefix`` (a hash of tree and matched prefix) of every class."""
+    """``row, prefix, child`` of every class and tree: a hash of the tree and the matched prefix, that is a trie
+    node, and the value after the prefix, that is the child of the node (of whole signatures 0)."""
 
     def kernel(batches):
         for batch in batches:
             n = batch.num_rows
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, trees, depth)[:, :, :match].astype(np.uint64)
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, trees, depth)
             key = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64)), (n, trees)).copy()
             for k in range(match):
-                key = mix(key + values[:, :, k])
+                key = mix(key + values[:, :, k].astype(np.uint64))
+            child = values[:, :, match] if match < depth else np.zeros((n, trees), np.uint32)
             rows = np.repeat(batch.column(0).to_numpy(), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(key.ravel().view(np.int64))], ["row", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(key.ravel().view(np.int64)), pa.array(np.ascontiguousarray(child).ravel().view(np.int32))],
+                ["row", "prefix", "child"],
+            )
 
-    return classes.select("row", "signature").mapInArrow(kernel, "row bigint, prefix bigint")
+    return classes.select("row", "signature").mapInArrow(kernel, "row bigint, prefix bigint, child int")
 
 
 def _groups(batches, keys: int):
@@ -125,13 +153,14 @@ def _groups(batches, keys: int):
         yield held
 
 
-def _paired_blocks(members: DataFrame, blocks: str, by: list[str]) -> DataFrame:
-    """Every member once per pair of blocks of its group that has its own: ``left``, ``right`` and ``own``."""
+def _paired_blocks(members: DataFrame, blocks: str, by: list[str], then: tuple[str, ...] = ()) -> DataFrame:
+    """Every member once per pair of blocks of its group that has its own: ``left``, ``right`` and ``own``;
+    groups are sorted by ``then``."""
     own = F.pmod(F.xxhash64("row"), F.col(blocks)).cast("int")
     told = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
     return told.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}).drop("other", blocks).repartition(
         *by, "left", "right"
-    ).sortWithinPartitions(*by, "left", "right")
+    ).sortWithinPartitions(*by, "left", "right", *then)
 
 
 def _spread(near, n: int) -> np.ndarray:
@@ -150,36 +179,63 @@ def _spread(near, n: int) -> np.ndarray:
     return label
 
 
-def _loose_links(classes: DataFrame, work: Workspace, trees: int, depth: int, match: int, node_rows: int) -> DataFrame:
-    """``a, b``: members of a trie node hung on the smallest one they are loosely linked to."""
-    nodes = work.stage("nodes", _prefixes(classes, trees, depth, match))
-    shared = nodes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select(
-        "prefix", F.ceil(F.col("n") / node_rows).cast("int").alias("blocks")
-    )
-    members = nodes.join(shared, "prefix").join(classes.select("row", "signature"), "row").select("prefix", "row", "signature", "blocks")
+def _node_links(classes: DataFrame, work: Workspace, trees: int, depth: int, match: int, threshold: float, node_rows: int) -> DataFrame:
+    """``a, b, least``: members of different children of a trie node, each hung on the smallest one it is loosely
+    linked to through them, and the equal values of the node's least alike pair at the threshold or above."""
     size = trees * depth
+    bar, wanted = loose_bar(threshold, size), ceil(threshold * size - 1e-9)
+    nodes = work.stage(f"nodes-{match}", _prefixes(classes, trees, depth, match))
+    met = F.col("n") > 1 if match == depth else F.col("low") < F.col("high")
+    # written, so that the join has two plain sides and a node of very many members can be split in it
+    shared = work.stage(f"shared-{match}", nodes.groupBy("prefix").agg(
+        F.count("*").alias("n"), F.min("child").alias("low"), F.max("child").alias("high")
+    ).where(met).select("prefix", F.ceil(F.col("n") / node_rows).cast("int").alias("blocks")))
+    members = nodes.join(shared, "prefix").join(classes.select("row", "signature"), "row").select("prefix", "row", "child", "signature", "blocks")
 
     def kernel(batches):
-        a, b = [], []
+        out, held = [], 0
         for group in _groups(batches, 3):
-            rows = group.column(4).to_numpy()
+            rows = group.column("row").to_numpy()
             if len(rows) < 2:
                 continue
-            values = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint32).reshape(-1, size)
+            values = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, size)
+            child = np.arange(len(rows)) if match == depth else group.column("child").to_numpy()
             order = np.argsort(rows)
-            rows, values = rows[order], values[order]
-            label = _spread(lambda i: np.flatnonzero((values == values[i]).sum(1) >= LOOSE * size), len(rows))
-            linked = np.flatnonzero(label != np.arange(len(rows)))
-            a.append(rows[linked])
-            b.append(rows[label[linked]])
-            if sum(map(len, a)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            rows, values, child = rows[order], values[order], child[order]
+            least = size + 1
 
-    paired = _paired_blocks(members, "blocks", ["prefix"]).select("prefix", "left", "right", "signature", "row")
-    return paired.mapInArrow(kernel, "a bigint, b bigint")
+            def near(i):
+                nonlocal least
+                equal = (values == values[i]).sum(1)
+                equal[child == child[i]] = 0
+                least = min(least, int(equal[equal >= wanted].min(initial=size + 1)))
+                return np.flatnonzero(equal >= bar)
+
+            label = _spread(near, len(rows))
+            linked = np.flatnonzero(label != np.arange(len(rows)))
+            out.append((rows[linked], rows[label[linked]], np.full(len(linked), least)))
+            held += len(linked)
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "least"])
+                out, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "least"])
+
+    paired = _paired_blocks(members, "blocks", ["prefix"], ("child",)).select("prefix", "left", "right", "child", "signature", "row")
+    return paired.mapInArrow(kernel, "a bigint, b bigint, least bigint")
+
+
+def _loose_links(classes: DataFrame, work: Workspace, trees: int, depth: int, threshold: float, recall: float, node_rows: int) -> DataFrame:
+    """``a, b`` of all prefixes from the full depth to the one at which the recall is reached."""
+    size, last = trees * depth, shortest_prefix(threshold, trees, depth, recall)
+    links = None
+    for match in range(depth, last - 1, -1):
+        step = work.stage(f"links-{match}", _node_links(classes, work, trees, depth, match, threshold, node_rows))
+        links = step if links is None else links.union(step)
+        least = links.agg(F.min("least")).first()[0]
+        if least is not None and least <= size and met_share(max(threshold, least / size), trees, match) >= recall:
+            break
+    return links.select("a", "b").distinct()
 
 
 def _verify(sets: DataFrame, threshold: float) -> DataFrame:
@@ -225,6 +281,7 @@ def join(docs: DataFrame, work: Workspace, threshold: float = THRESHOLD, words:
          block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per document ``doc_id, mark, class_id, links, class_size, first``: its class of near duplicates.
 
+    A threshold that ``trees`` cannot meet with probability ``recall`` is refused.
     Two documents are linked if the Jaccard similarity of their shingle sets (words are runs of other than
     ASCII blanks, compared as they are) is ``threshold`` (in thousandths) or more; classes are connected by
     links. ``class_id`` is the smallest ``doc_id`` of the class (null if it has none), ``links`` the number
@@ -236,14 +293,14 @@ def join(docs: DataFrame, work: Workspace, threshold: float = THRESHOLD, words:
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    match = matched_depth(threshold, trees, depth, recall)
+    shortest_prefix(threshold, trees, depth, recall)  # refuses what cannot be met before any work
     table = work.stage("profiles", _profile(docs, words, trees * depth).withColumn("row", F.monotonically_increasing_id()))
     found = table.where("n > 0").groupBy("g1", "g2").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
     classes = work.stage("classes", found)
     ones = table.join(classes.select("row", "copies"), "row").select("row", "copies", "n", "doc_id", "mark", "signature")
-    loose = connected(_loose_links(ones.select("row", "signature"), work, trees, depth, match, node_rows), work, "loose")
+    loose = connected(_loose_links(ones.select("row", "signature"), work, trees, depth, threshold, recall, node_rows), work, "loose")
     inside = work.stage("members", loose.join(ones.drop("signature"), F.col("node") == F.col("row")).drop("node"))
-    sizes = inside.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    sizes = work.stage("sizes", inside.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks")))
     # rows with equal id and text are one key here: any of their texts will do
     # (members grow with the corpus, so the join is one of two shuffled sides at any size)
     texts = docs.join(
@@ -274,10 +331,10 @@ def join(docs: DataFrame, work: Workspace, threshold: float = THRESHOLD, words:
                 F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("links"))
     )
     told = work.stage("joined", told)
-    heads = told.groupBy("leader").agg(
+    heads = work.stage("heads", told.groupBy("leader").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"),
-    )
+    ))
     return told.join(heads, "leader").select(
         "doc_id", "mark", "class_id", "links", "class_size", (F.col("row") == F.col("head.row")).alias("first")
     )

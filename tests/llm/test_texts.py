@@ -4,8 +4,10 @@ import base64
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
+from math import ceil
 
 import numpy as np
 import pytest
@@ -146,10 +148,48 @@ def test_join_equals_all_pairs(spark, docs, rows, limits):
     assert got.where("first").count() == sum(1 / k[3] * n for k, n in want.items()).__round__()
 
 
-def test_prefix_is_shortened_to_the_recall():
-    assert forest.matched_depth(0.8, 16, 5, 0.9999) == 3
-    assert forest.matched_depth(0.8, 16, 5, 0.99) == 5
-    assert forest.matched_depth(0.1, 2, 5, 0.9999) == 1
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.7])
+def test_join_meets_its_recall_at_lower_thresholds(spark, least):
+    rng, rows = np.random.default_rng(7), []
+    for k in range(60):  # families of one text with more and more words replaced
+        words = [f"w{k}x{j}" for j in range(120)]
+        for cut in range(0, 30, 2):
+            changed = list(words)
+            for at in rng.choice(120, cut // 2, replace=False):
+                changed[at] = f"n{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.links for r in forest.join(docs, workspace(spark), threshold=least).collect()}
+    want = {r[0]: r[2] for r in similar(rows, least)}
+    assert all(got[k] <= n for k, n in want.items())
+    assert sum(got.values()) >= 0.9999 * sum(want.values()) > 500
+
+
+def test_prefix_is_shortened_to_the_recall(spark):
+    assert forest.shortest_prefix(0.8, 16, 5, 0.9999) == 3
+    assert forest.shortest_prefix(0.8, 16, 5, 0.99) == 5
+    with pytest.raises(ValueError):
+        forest.shortest_prefix(0.1, 2, 5, 0.9999)
+    with pytest.raises(ValueError):
+        forest.join(spark.createDataFrame([(1, "a")], "doc_id long, text string"), workspace(spark), threshold=0.3)
+    assert forest.loose_bar(0.8, 80) == 40 and forest.loose_bar(0.5, 80) < 20
+
+
+@pytest.mark.parametrize("changed, steps", [(0.5, {5}), (8, {5, 4, 3})])
+def test_pairs_found_decide_on_the_prefix(spark, changed, steps):
+    """Copies that are hardly changed end the shortening at the full prefix; others need shorter ones."""
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in range(400)]
+        rows.append((2 * k, " ".join(words)))
+        words[200 : 200 + ceil(changed)] = [f"n{k}x{j}" for j in range(ceil(changed))]
+        rows.append((2 * k + 1, " ".join(words) if changed > 1 else " ".join(words[:-1])))
+    if changed > 1:
+        rows = [(i, t if i % 2 == 0 else " ".join(w if j % 45 else f"o{i}" for j, w in enumerate(t.split()))) for i, t in rows]
+    work = workspace(spark)
+    got = forest.join(spark.createDataFrame(rows, "doc_id long, text string"), work)
+    assert counted(got, "doc_id", "class_id", "links", "class_size") == similar(rows)
+    assert {d for d in range(1, 6) if os.path.exists(f"{work.root}/links-{d}")} == steps
 
 
 def test_shingles_of_short_texts():
