@@ -357,6 +357,16 @@ def rouge_select(kind, name) -> str:
     return f"(WITH {rouge(kind)} SELECT id, {expr} AS {name} FROM sc)"
 
 
+FIRST_PAIR = f"""
+    WITH u AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')),
+    a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS asked_at, count(*)::INT AS num_turns FROM u GROUP BY 1),
+    p AS (SELECT conv_id, num_turns, max(text) FILTER (role = 'user' AND turn = asked_at) AS msg,
+            arg_min(text, turn) FILTER (role = 'assistant' AND turn > asked_at) AS first_support_reply
+          FROM u JOIN a USING (conv_id) GROUP BY 1, 2),
+    c AS (SELECT conv_id AS conversation_id, {CLEAN.format('msg')} AS first_customer_msg, first_support_reply, num_turns FROM p)
+    SELECT * FROM c WHERE num_turns >= 2 AND length(first_customer_msg) >= 20 AND length(first_support_reply) >= 15"""
+
+
 def oracle_sql() -> dict[str, str]:
     label_cols = ("conv_id, turn, intent, conf AS intent_confidence, n_intents, {} AS difficulty_tag")
     decision, reason = gold(PACK)
@@ -384,14 +394,8 @@ def oracle_sql() -> dict[str, str]:
         "brand_conversations": f"""SELECT conversation_id, first_customer_msg, num_turns FROM ({FIRST_PAIRS})
             WHERE lang = 'de' AND num_turns >= 2 AND length(first_customer_msg) >= 20
             AND length(first_support_reply) >= 15 ORDER BY conversation_id LIMIT 50""",
-        "first_pair": f"""
-            WITH u AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')),
-            a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS asked_at, count(*)::INT AS num_turns FROM u GROUP BY 1),
-            p AS (SELECT conv_id, num_turns, max(text) FILTER (role = 'user' AND turn = asked_at) AS msg,
-                    arg_min(text, turn) FILTER (role = 'assistant' AND turn > asked_at) AS first_support_reply
-                  FROM u JOIN a USING (conv_id) GROUP BY 1, 2),
-            c AS (SELECT conv_id AS conversation_id, {CLEAN.format('msg')} AS first_customer_msg, first_support_reply, num_turns FROM p)
-            SELECT * FROM c WHERE num_turns >= 2 AND length(first_customer_msg) >= 20 AND length(first_support_reply) >= 15""",
+        "first_pair": FIRST_PAIR,
+        "stream_pairs": FIRST_PAIR,
         "kb_dedup": kb(),
         "kb_capped": kb(300),
         "keyword_label": f"""SELECT {label_cols.format(difficulty(PACK))}, array_to_string(h, ',') AS hits

@@ -18,7 +18,7 @@ from ..plans.triage import triage, vectorise
 from ..rules import SUPPORT_PACK
 from ..sources import tables
 from ..sources.workspace import Workspace
-from ..streaming import live
+from ..streaming import live, pairs
 from .inputs import (
     PACK, SOURCE_MAP, documents, labelled_docs, language_guesses, messages, pairs, read, reply_pairs, turn_id, turns,
     vectors,
@@ -837,3 +837,15 @@ def stream_triage(spark, d):
     out = work.path("scored")
     live.triage_stream(arriving, PROPOSED, resources, out, work.path("scored_state")).awaitTermination()
     return spark.read.parquet(out).select("query_id", "intent", "escalation_decision", "risk_score")
+
+
+@query
+def stream_pairs(spark, d):
+    """First question and answer per conversation, from its turns as a stream."""
+    work = Workspace(spark)
+    role = F.col("role")
+    arriving = _stream(spark, d, "conversations").select(
+        F.col("conv_id").alias("conversation_id"), F.col("turn").alias("pos"),
+        F.when(role == "user", "customer").when(role == "assistant", "support").otherwise(role).alias("role"), "text")
+    pairs.pair_stream(arriving, work.path("pairs"), work.path("pairs_state")).awaitTermination()
+    return pairs.latest_pairs(spark, work.path("pairs"))

@@ -2,7 +2,10 @@
 
 import json
 import math
+import os
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -11,12 +14,13 @@ from pyspark.sql import functions as F
 
 from relaydesk import fixed_values as fv
 from relaydesk.operators import replies, textmodel
+from relaydesk.operators.transcripts import first_pairs_from_turns
 from relaydesk.plans import prepare, run
 from relaydesk.plans.configs import CONFIGS, PROPOSED
 from relaydesk.plans.triage import triage, vectorise
 from relaydesk.rules import SUPPORT_PACK
 from relaydesk.sources import tables
-from relaydesk.streaming import live
+from relaydesk.streaming import live, pairs
 
 CASE = "array<struct<customer_query:string,support_response:string,similarity:double,id:string>>"
 
@@ -262,3 +266,51 @@ def test_main(spark, work, transcripts):
     judged = spark.read.json(work.path("results/judge_document")).first()
     assert judged["num_evaluated"] == 50 and judged["judge_method"] == "heuristic"
     assert judged["aggregate_scores"]["actionability"]["max"] <= 5
+
+
+TURNS = "conversation_id long, pos long, role string, text string"
+
+
+def test_pairs_of_turns_in_any_order(spark, work):
+    rng = random.Random(4)
+    rows = [(c, p, rng.choice(["customer", "support", "support", "bot"]), f"a text of conversation {c} at turn {p}")
+            for c in range(40) for p in range(rng.randrange(9))]
+    rows += [(50, None, "customer", "a turn without a place in its conversation"), (50, 3, "customer", None), (50, 4, "support", "an answer to nothing at all"),
+             (51, 2, "support", "an answer that came twice"), (51, 2, "support", "an answer that came twice"), (51, 1, "customer", "  a question with blanks around it ")]
+    rng.shuffle(rows)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], TURNS).coalesce(1).write.mode("append").parquet(work.path("turns"))
+    arriving = spark.readStream.schema(TURNS).option("maxFilesPerTrigger", 1).parquet(work.path("turns"))
+    pairs.pair_stream(arriving, work.path("out"), work.path("state")).awaitTermination()
+    got = sorted(map(tuple, pairs.latest_pairs(spark, work.path("out")).collect()))
+    want = first_pairs_from_turns(spark.createDataFrame(rows, TURNS)).select("conversation_id", "first_customer_msg", "first_support_reply", "num_turns")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 10
+    assert spark.read.parquet(work.path("out")).select("batch").distinct().count() == 3
+
+
+def test_idle_conversations_are_closed(spark, work):
+    def arrive(*rows):
+        spark.createDataFrame(rows, TURNS).coalesce(1).write.mode("append").parquet(work.path("turns"))
+
+    def closed():
+        return {(r.conversation_id, r.num_turns) for r in spark.read.schema(out).parquet(work.path("out")).where("closed").collect()}
+
+    out = pairs.PAIR.format(kind="bigint")
+    arrive((1, 5, "customer", "where is the parcel I ordered?"), (1, 6, "support", "it is on its way to you"))
+    arriving = spark.readStream.schema(TURNS).parquet(work.path("turns"))
+    with pytest.raises(ValueError):
+        pairs.pair_stream(arriving, work.path("out"), work.path("state"), idle_ms=1, trigger={"availableNow": True})
+    stream = pairs.pair_stream(arriving, work.path("out"), work.path("state"), idle_ms=1, trigger={"processingTime": "1 second"})
+    try:
+        for want, late in ((1, 2), [(1, 1, "customer", "a question that comes too late"), (1, 2, "support", "an answer that comes too late"),
+                                    (1, 3, "support", "another that comes too late")]), ((1, 3), []):
+            ends = time.time() + 60
+            while time.time() < ends and not (os.path.exists(f"{work.path('out')}/batch=0/_SUCCESS") and want in closed()):
+                time.sleep(0.5)
+            assert want in closed()
+            if late:
+                arrive(*late)
+    finally:
+        stream.stop()
+    assert [tuple(r) for r in pairs.latest_pairs(spark, work.path("out")).collect()] == [
+        (1, "where is the parcel I ordered?", "it is on its way to you", 2)]
