@@ -18,7 +18,8 @@ from ..plans.triage import triage, vectorise
 from ..rules import SUPPORT_PACK
 from ..sources import tables
 from ..sources.workspace import Workspace
-from ..streaming import live, pairs
+from ..streaming import live
+from ..streaming.pairs import latest_pairs, pair_stream
 from .inputs import (
     PACK, SOURCE_MAP, documents, labelled_docs, language_guesses, messages, pairs, read, reply_pairs, turn_id, turns,
     vectors,
@@ -847,5 +848,5 @@ def stream_pairs(spark, d):
     arriving = _stream(spark, d, "conversations").select(
         F.col("conv_id").alias("conversation_id"), F.col("turn").alias("pos"),
         F.when(role == "user", "customer").when(role == "assistant", "support").otherwise(role).alias("role"), "text")
-    pairs.pair_stream(arriving, work.path("pairs"), work.path("pairs_state")).awaitTermination()
-    return pairs.latest_pairs(spark, work.path("pairs"))
+    pair_stream(arriving, work.path("pairs"), work.path("pairs_state")).awaitTermination()
+    return latest_pairs(spark, work.path("pairs"))
