@@ -113,6 +113,51 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == {x: find(x) for x in parent}
 
 
+# -- mixing of whole documents
+
+def test_whole_documents_come_nearest(spark):
+    from relaydesk.llm.mixing import mix, mix_whole
+
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.randint(1, 300), f"s{rng.choice([0, 0, 0, 1, 2, 3])}") for k in range(400)]
+    rows += [(500, "w " * 40, "tiny"), (501, None, "tiny"), (502, "", "void"), (None, "a b c", None), (None, None, None), (7, "r " * 30, "s1"), (7, "r " * 30, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("x")).withColumn("again", F.lit(0))
+    wanted = {}
+    for r in mix(docs, workspace(spark)).collect():
+        wanted.setdefault((r.source_size, r.target), []).append(r)
+    told = mix_whole(docs, workspace(spark)).collect()
+    assert len(told) == len({(i, s) for i, _, s in rows})
+    got = {}
+    for r in told:
+        assert 0 <= r.copies <= 2 and (r.size > 0 or r.copies == 0)
+        n, words = got.get(r.source, (0, 0))
+        got[r.source] = (n + r.size, words + r.copies * r.size)
+    for size, target in wanted:
+        near = [w for n, w in got.values() if n == size]
+        least = target / 400 + 1 if size > 1000 else 40  # a source of one document takes it or not
+        assert any(abs(w - target) <= least for w in near)
+    assert sorted(map(tuple, told), key=str) == sorted(map(tuple, mix_whole(docs.repartition(5), workspace(spark)).collect()), key=str)
+    assert mix_whole(docs.limit(0), workspace(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_documents_against_all_choices(spark, seed):
+    """One source of few documents, a long one among them: the target is met as it can be, and no choice that is as near takes fewer words otherwise."""
+    from itertools import product
+
+    from relaydesk.llm.mixing import NEAR, mix, mix_whole
+
+    rng = random.Random(seed)
+    rows = [(k, "w " * rng.choice([rng.randint(5, 90), 9]), "a") for k in range(7)] + [(7, "w " * 900, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = sorted(mix(docs, workspace(spark)).collect())
+    taken, sizes, target = [r.taken for r in told], [r.size for r in told], told[0].target
+    off = lambda c: abs(sum(n * s for n, s in zip(c, sizes)) - sum(taken))
+    rank = lambda c: (max(off(c), int(NEAR * target)), sum(abs(n * s - t) for n, s, t in zip(c, sizes, taken)), off(c))
+    got = [r.copies for r in sorted(mix_whole(docs, workspace(spark)).collect())]
+    assert rank(got) == min(map(rank, product(range(3), repeat=8)))
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark):
@@ -134,6 +179,7 @@ def test_pipeline_stages(spark):
     n = lambda df: df.agg(F.sum(mixed_words())).first()[0]
     assert abs(n(kept["mixing"]) - 1.5 * n(kept["suffix_dedup"])) < 100
     assert kept["pieces"].count() == kept["mixing"].count()
+    assert kept["mixing"].select("doc_id", "text").subtract(kept["suffix_dedup"].select("doc_id", "text")).count() == 0  # whole texts
 
 
 def mixed_words():
