@@ -70,23 +70,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*names)
 
 
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: once per whole repetition, and once more cut to the words
-    of a partial one. Documents that are not taken, or have no word, go."""
-    keyed = docs.select("doc_id", "text", "source")
-    taken = mixing.mix(_mark(keyed).withColumn("doc_id", F.struct("doc_id", "_mark")), workspace(spark)).where("taken > 0")
-    told = taken.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._mark").alias("_key"), "size", "taken").dropDuplicates(["_id", "_key"])
-    joined = _decided(docs, told).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
-    # the shortest beginning of the text that holds so many words
-    begins = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    partial = words < F.col("size")
-    told = joined.withColumn("_part", F.when(partial, begins))
-    columns = {"text": F.coalesce("_part", "text")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_part").isNotNull(), F.length("_part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return told.withColumns(columns).select(*docs.columns)
+    """Each document as often as the mix takes it, always whole. Documents that are not taken, or have no word, go."""
+    keyed = _mark(docs.select("doc_id", "text", "source")).withColumn("doc_id", F.struct("doc_id", "_mark"))
+    taken = mixing.mix_whole(keyed, workspace(spark)).where("copies > 0")
+    told = taken.groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._mark").alias("_key")).agg(F.max("copies").alias("_copies"))
+    return _decided(docs, told).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
