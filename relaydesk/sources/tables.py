@@ -101,10 +101,19 @@ def document(**parts: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(name) for name, c in parts.items()]))
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    files, p = _file_system(spark, path)
+    return files.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, p = _file_system(spark, path)
+    return files.getFileStatus(p).isDirectory()
 
 
 def params_key(name: str, params: dict) -> str:

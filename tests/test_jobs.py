@@ -314,3 +314,16 @@ def test_idle_conversations_are_closed(spark, work):
         stream.stop()
     assert [tuple(r) for r in pairs.latest_pairs(spark, work.path("out")).collect()] == [
         (1, "where is the parcel I ordered?", "it is on its way to you", 2)]
+
+
+def test_streams_read_tables_that_are_folders(spark, work):
+    from relaydesk.catalog import queries
+
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string")
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", f"a text of conversation {c} at turn {t}") for c in range(30) for t in range(4)]
+    turns = spark.createDataFrame(talk, "conv_id long, turn int, role string, text string")
+    for name, table in (("documents", docs), ("conversations", turns)):
+        table.repartition(3).write.parquet(work.path(f"in/{name}.parquet"))
+    assert queries.stream_first_seen(spark, work.path("in")).count() == 7
+    assert queries.stream_pairs(spark, work.path("in")).count() == 30
+    assert queries._stream(spark, work.path("in"), "conversations").isStreaming
