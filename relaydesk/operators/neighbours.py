@@ -173,8 +173,9 @@ def nearest_pruned(
     """As :func:`nearest`, visiting only cells that can hold a neighbour. Same result.
 
     ``pivots`` rows, 512 unless given, are read by the driver; they and the per-cell sizes and radii
-    are the only data that leave the executors. A cell that holds most of the base is cut into blocks by id.
-    Zero vectors form their own cell, whose similarity to anything is 0.
+    are the only data that leave the executors. A large cell is cut by id into blocks of ``block_rows`` rows; in a base
+    with enough rows for all slots blocks grow, up to ``BLOCK_ROWS``, as a query is sent to every block of a cell it
+    visits. Zero vectors form their own cell, whose similarity to anything is 0.
     """
     q = queries.select(F.col(query_id).alias("qid"), as_doubles(F.col(vec)).alias("qvec"))
     b = base.select(F.col(base_id).alias("bid"), as_doubles(F.col(vec)).alias("bvec"))
@@ -209,15 +210,17 @@ def nearest_pruned(
                                 T.StructField("angle", T.DoubleType())])
     placed = b.mapInPandas(assign, cell_schema)
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
+    per_slot = -(-sum(r["n"] for r in stats) // sc.defaultParallelism)
+    rows = max(block_rows, min(per_slot, BLOCK_ROWS))
     cells = sc.broadcast(
-        [(r["cell"], r["n"], r["radius"], -(-r["n"] // block_rows)) for r in sorted(stats, key=lambda r: r["cell"])]
+        [(r["cell"], r["n"], r["radius"], -(-r["n"] // rows)) for r in sorted(stats, key=lambda r: r["cell"])]
     )
     subs = F.lit(1).cast("bigint")
     for cell, _, _, parts in cells.value:
         if parts > 1:
             subs = F.when(F.col("cell") == cell, F.lit(parts).cast("bigint")).otherwise(subs)
     blocks = placed.select(
-        F.format_string("%d:%d", "cell", F.pmod(F.xxhash64("bid"), subs)).alias("block"), "bid", "bvec"
+        (F.shiftleft("cell", 32) + F.pmod(F.xxhash64("bid"), subs)).alias("block"), "bid", "bvec"
     )
     need = k + int(exclude_self)
     eps = EPS
@@ -232,6 +235,7 @@ def nearest_pruned(
             p = np.divide(p, n, out=np.zeros_like(p), where=n > 0)
             table = cells.value
             size = np.array([t[1] for t in table])
+            numbers = [(t[0] << 32) + np.arange(t[3], dtype=np.int64) for t in table]
             for pdf in batches:
                 if len(pdf) == 0:
                     continue
@@ -253,25 +257,16 @@ def nearest_pruned(
                     chosen = home
                 else:
                     chosen = (bound >= pdf["kth"].fillna(-2.0).to_numpy()[:, None] - eps) & ~home
-                row, col = np.nonzero(chosen)
-                if len(row) == 0:
-                    continue
-                parts = np.array([t[3] for t in table])[col]
-                row = np.repeat(row, parts)
-                ids = np.repeat(np.array([t[0] for t in table])[col], parts)
-                sub = np.concatenate([np.arange(x) for x in parts])
-                yield pd.DataFrame({
-                    "block": np.array([f"{c}:{s}" for c, s in zip(ids, sub)], dtype=object),
-                    "qid": pdf["qid"].to_numpy()[row],
-                    "qvec": pdf["qvec"].to_numpy()[row],
-                })
+                lists = [np.concatenate([numbers[j] for j in np.flatnonzero(c)] or [np.empty(0, np.int64)]) for c in chosen]
+                yield pd.DataFrame({"blocks": lists, "qid": pdf["qid"].to_numpy(), "qvec": pdf["qvec"].to_numpy()})
         return send
 
-    routed_schema = T.StructType([T.StructField("block", T.StringType()), *q.schema.fields])
+    # a query leaves Python once, with the blocks it is sent to
+    routed_schema = T.StructType([T.StructField("blocks", T.ArrayType(T.LongType())), *q.schema.fields])
 
     def visit(df: DataFrame, home_only: bool) -> DataFrame:
         """Search the blocks the queries are sent to, in chunks sized by each block's own queries."""
-        sent = df.mapInPandas(route(home_only), routed_schema)
+        sent = df.mapInPandas(route(home_only), routed_schema).select(F.explode("blocks").alias("block"), "qid", "qvec")
         sizes = sent.groupBy("block").agg(F.count("*").alias("n"))
         chunked = sent.join(sizes, "block").select(
             _chunk_no("qid", F.col("n"), F.lit(1).cast("bigint")).alias("chunk"), "block", "qid", "qvec"

@@ -109,3 +109,17 @@ def test_retrieve(spark):
     assert [c["id"] for c in cases] == ["a", "b", "c"] and cases[0]["similarity"] == 0.995
     cases = nb.retrieve_cases(q, kb, 3).first()["retrieved_cases"]
     assert [c["id"] for c in cases] == ["b", "c"]
+
+
+def test_a_query_is_sent_to_few_blocks(spark, monkeypatch):
+    m = np.random.default_rng(5).normal(size=(2000, 16))  # cells that all can hold a neighbour of any query
+    base, sent, search = table(spark, m), [], nb._search_blocks
+
+    def counted(routed, *more):
+        sent.append(routed.count())
+        return search(routed, *more)
+
+    monkeypatch.setattr(nb, "_search_blocks", counted)
+    got = nb.nearest_pruned(base.withColumnRenamed("id", "query_id"), base, 3, pivots=4, block_rows=10)
+    assert found(got) == brute(m, m, 3, False)
+    assert sum(sent) <= len(m) * (4 + spark.sparkContext.defaultParallelism)
