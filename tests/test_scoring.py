@@ -1,7 +1,10 @@
 """Metrics, rubric, agreement and text overlap against hand-derived answers."""
 
 import json
+import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +167,19 @@ def test_overlap(spark):
 
 def test_constants():
     assert len(fv.ACTION_WORDS) == 16 and len(fv.EMPATHY_WORDS) == 9
+
+
+def test_shared_tokens_are_counted_in_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice("abcde") for _ in range(rng.randrange(9))], [rng.choice("abcde") for _ in range(rng.randrange(9))]) for i in range(200)]
+    rows.append((200, ["a"] * 500, ["a"] * 300))
+    df = spark.createDataFrame(rows, "id long, x array<string>, y array<string>").coalesce(1)
+    got = {r.id: (r.n, r.m) for r in df.select("id", overlap.shared_count(F.col("x"), F.col("y")).alias("n"), overlap.lcs_length(F.col("x"), F.col("y")).alias("m")).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: (Counter(x) & Counter(y)).total() for i, x, y in rows}
+    assert got[200][1] == 300
+    sizes, whole = [], overlap._shared
+    monkeypatch.setattr(overlap, "PIECE_TOKENS", 40)
+    monkeypatch.setattr(overlap, "_shared", lambda x, y: sizes.append(len(x.flatten()) + len(y.flatten())) or whole(x, y))
+    x, y = (pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (1, 2))
+    assert overlap._in_pieces(x, y).to_pylist() == [(Counter(r[1]) & Counter(r[2])).total() for r in rows]
+    assert sizes[-1] == 800 and max(sizes[:-1]) <= 40
