@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import contains_any, count_terms
 from ..rules import RulePack, intent_case
@@ -27,6 +29,32 @@ def keyword_matches(df: DataFrame, text_col: str, pack: RulePack, keep: list[str
 
 
 KEY_CHARS = 4  # beginning of a keyword that finds the texts it may be in
+SLOTS = 1 << 20  # of the beginnings' hashes, by which a text's own are sifted
+PIECE_BYTES = 1 << 20  # of texts whose windows are hashed at once
+
+
+def _windows(raw: np.ndarray, n: int) -> np.ndarray:
+    """Slot of every run of ``n`` bytes."""
+    h = np.zeros(max(len(raw) - n + 1, 0), np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + raw[i:i + len(h)]
+    return (h ^ (h >> np.uint64(32))) % np.uint64(SLOTS)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a string column without nulls, and the offsets of its rows."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]], at - at[0]
+
+
+def _slots(batches):
+    """(bytes, slot) of short strings."""
+    for batch in batches:
+        grams = [g.encode() for g in batch.column(0).to_pylist()]
+        slots = [int(_windows(np.frombuffer(g, np.uint8), len(g))[0]) for g in grams]
+        yield pa.RecordBatch.from_arrays([pa.array([len(g) for g in grams], pa.int32()), pa.array(slots, pa.int32())], ["n", "slot"])
 
 
 def keyword_matches_table(df: DataFrame, text_col: str, keywords: DataFrame, key: str) -> DataFrame:
@@ -34,24 +62,45 @@ def keyword_matches_table(df: DataFrame, text_col: str, keywords: DataFrame, key
 
     Texts and keywords meet by an equal join on the first characters of the keyword, on keys alone;
     the text is then fetched by ``key``, which must be unique, and searched for the whole keyword.
+    Of a text's runs of characters only those are joined whose hash a keyword's beginning has too.
     An empty or null keyword and a null text or key match nothing; a repeated rule row counts once.
-    The driver reads only the lengths of the beginnings, at most ``KEY_CHARS`` numbers.
+    The driver reads only the hashes, at most ``SLOTS`` for each of the 16 lengths in bytes.
     """
     rules = keywords.select("intent", "ord", "kw").where(F.length("kw") > 0).distinct().withColumn(
         "__gram", F.substring("kw", 1, KEY_CHARS)
     )
-    lengths = [r[0] for r in rules.select(F.length("__gram")).distinct().collect()]
+    marked = {}
+    for n, slot in rules.select("__gram").distinct().mapInArrow(_slots, "n int, slot int").distinct().collect():
+        marked.setdefault(n, np.zeros(SLOTS, bool))[slot] = True
+    marked = df.sparkSession.sparkContext.broadcast(marked)
     texts = df.select(key, F.lower(text_col).alias("__t"))
-    chars = texts.where(F.length("__t") > 0).select(key, F.split("__t", "").alias("__c"))
-
-    def beginnings(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("__c") - n + 1)
-        grams = F.transform(at, lambda i: F.array_join(F.slice("__c", i, n), ""))
-        return F.when(F.size("__c") >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    found = chars.select(key, F.explode(F.array_distinct(F.concat(
-        F.array().cast("array<string>"), *[beginnings(n) for n in lengths]))).alias("__gram"))
-    met = found.join(rules, "__gram").select(key, "intent", "ord", "kw")
+    def beginnings(batches):
+        for batch in batches:
+            raw, at = _bytes_of(batch.column(1))
+            first, last = 0, len(at) - 1
+            while first < last:
+                end = max(first + 1, int(np.searchsorted(at, at[first] + PIECE_BYTES, side="right")) - 1)
+                part, ends = raw[at[first]:at[end]], at[first + 1:end + 1] - at[first]
+                rows, grams = [], []
+                for n, known in marked.value.items():
+                    starts = np.flatnonzero(known[_windows(part, n)])
+                    row = np.searchsorted(ends, starts, side="right")
+                    inside = starts + n <= ends[row]
+                    rows.append(row[inside])
+                    cut = part[starts[inside][:, None] + np.arange(n)].tobytes()
+                    grams.append(pa.Array.from_buffers(pa.binary(n), int(inside.sum()), [None, pa.py_buffer(cut)]).cast(pa.binary()))
+                if rows:
+                    met = pa.table({"row": np.concatenate(rows), "gram": pa.concat_arrays(grams)}).group_by(["row", "gram"]).aggregate([])
+                    met = met.combine_chunks()
+                    for hit in met.to_batches():
+                        ids = batch.column(0).take(pa.array(hit.column("row").to_numpy() + first))
+                        yield pa.RecordBatch.from_arrays([ids, hit.column("gram")], [key, "__gram"])
+                first = end
+
+    schema = T.StructType([texts.schema[key], T.StructField("__gram", T.BinaryType())])
+    found = texts.where(F.length("__t") > 0).mapInArrow(beginnings, schema)
+    met = found.join(rules.withColumn("__gram", F.encode("__gram", "UTF-8")), "__gram").select(key, "intent", "ord", "kw")
     return met.join(texts, key).where(F.contains("__t", "kw")).select(key, "intent", "ord", "kw")
 
 
