@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.ml.functions as MF
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -44,27 +47,76 @@ def term_stages(stop_words: bool) -> list:
     return stages
 
 
-def vocabulary(terms: DataFrame, vocab: int, min_df: int) -> DataFrame:
-    """(term, tf, df) of the ``vocab`` most frequent terms in at least ``min_df`` rows.
+PIECE_TERMS = 500_000  # counted at once
+MORE_WORDS = 4096  # that the driver reads beyond the vocabulary, for those as frequent as its last
 
-    ``terms`` has one array column ``__terms``. The first place of a term in its sorted row counts
-    towards the row frequency, so one grouping gives both counts.
+
+def _pieces(batches):
+    """(terms, row of each) of array columns, some rows at a time."""
+    for batch in batches:
+        column = batch.column(0)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_TERMS, side="right")))
+            part = column.slice(at, end - at)
+            yield part.flatten(), pc.list_parent_indices(part).to_numpy().astype(np.int64)
+            at = end
+
+
+def _counts(codes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and rows of every code below ``n``."""
+    return np.bincount(codes, minlength=n), np.bincount(np.unique(rows * n + codes) % max(n, 1), minlength=n)
+
+
+def counted_terms(terms: DataFrame) -> DataFrame:
+    """(term, tf, df) of a table of one array column."""
+
+    def count(batches):
+        for flat, rows in _pieces(batches):
+            encoded = flat.dictionary_encode()
+            names = encoded.dictionary
+            tf, df = _counts(encoded.indices.to_numpy(), rows, len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(tf), pa.array(df)], ["term", "tf", "df"])
+
+    parts = terms.mapInArrow(count, "term string, tf bigint, df bigint")
+    return parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def counted_pairs(words: DataFrame, known: list[str]) -> DataFrame:
+    """(term, tf, df) of neighbouring words of which both are among ``known``."""
+    names = words.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        values = pa.array(names.value, pa.string())
+        for flat, rows in _pieces(batches):
+            code = pc.fill_null(pc.index_in(flat, value_set=values), -1).to_numpy().astype(np.int64)
+            both = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0) & (rows[:-1] == rows[1:]))
+            found, pair = np.unique(code[both] * len(values) + code[both + 1], return_inverse=True)
+            tf, df = _counts(pair, rows[both], len(found))
+            left, right = (values.take(pa.array(x)) for x in np.divmod(found, len(values)))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(left, right, " "), pa.array(tf), pa.array(df)], ["term", "tf", "df"])
+
+    parts = words.mapInArrow(count, "term string, tf bigint, df bigint")
+    return parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def vocabulary(words: DataFrame, terms: DataFrame, vocab: int, min_df: int) -> list:
+    """(term, tf, df) of the ``vocab`` most frequent of ``terms`` in at least ``min_df`` rows, in the driver.
+
+    ``words`` and ``terms`` have one array column each; terms are words and pairs of neighbouring ones. A pair is
+    no more frequent than its words, so only pairs of words as frequent as the ``vocab``-th are counted. With
+    fewer words than that, or too many as frequent as the last, all terms are.
     """
-    sorted_terms = terms.select(F.sort_array("__terms").alias("s"))
-    marked = F.transform(
-        "s",
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.when((i == 0) | (F.get("s", i - 1) != t), 1).otherwise(0).alias("first"),
-        ),
-    )
-    return (
-        sorted_terms.select(F.explode(marked).alias("x"))
-        .groupBy("x.term").agg(F.count("*").alias("tf"), F.sum("x.first").alias("df"))
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("tf"), "term")
-        .limit(vocab)
-    )
+
+    def first(counted: DataFrame, n: int) -> list:
+        return counted.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(n).collect()
+
+    top = first(counted_terms(words), vocab + MORE_WORDS)
+    if not 0 < vocab <= len(top) or (len(top) == vocab + MORE_WORDS and top[-1]["tf"] == top[vocab - 1]["tf"]):
+        return first(counted_terms(terms), vocab)
+    known = [r["term"] for r in top if r["tf"] >= top[vocab - 1]["tf"]]
+    return sorted(top + first(counted_pairs(words, known), vocab), key=lambda r: (-r["tf"], r["term"]))[:vocab]
 
 
 def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words: bool = True) -> PipelineModel:
@@ -74,7 +126,8 @@ def fit_tfidf(texts: DataFrame, vocab: int = 5000, min_df: int = 2, stop_words:
     """
     words = Pipeline(stages=term_stages(stop_words)).fit(texts)
     rows = texts.count()
-    chosen = vocabulary(words.transform(texts).select("__terms"), vocab, min_df).collect()
+    split = words.transform(texts)
+    chosen = vocabulary(split.select("__kept" if stop_words else "__words"), split.select("__terms"), vocab, min_df)
     weights = [math.log((1 + rows) / (1 + r["df"])) + 1.0 for r in chosen]
     return PipelineModel([
         words,

@@ -327,3 +327,16 @@ def test_streams_read_tables_that_are_folders(spark, work):
     assert queries.stream_first_seen(spark, work.path("in")).count() == 7
     assert queries.stream_pairs(spark, work.path("in")).count() == 30
     assert queries._stream(spark, work.path("in"), "conversations").isStreaming
+
+
+@pytest.mark.parametrize("vocab, min_df, more", [(5, 1, 4096), (12, 2, 4096), (12, 2, 1), (60, 3, 0), (10_000, 2, 4096)])
+def test_vocabulary_counts_pairs_of_frequent_words(spark, monkeypatch, vocab, min_df, more):
+    rng = random.Random(vocab)
+    rows = [[f"w{min(int(rng.paretovariate(0.8)), 40)}é" for _ in range(rng.randrange(30))] for _ in range(80)] + [["aa"] * 30, ["aa", "bb"] * 20, []]
+    counts = [w + [f"{x} {y}" for x, y in zip(w, w[1:])] for w in rows]
+    tf, df = Counter(t for r in counts for t in r), Counter(t for r in counts for t in set(r))
+    want = sorted((-n, t, df[t]) for t, n in tf.items() if df[t] >= min_df)[:vocab]
+    monkeypatch.setattr(textmodel, "MORE_WORDS", more)
+    table = spark.createDataFrame([(r, c) for r, c in zip(rows, counts)], "words array<string>, terms array<string>").repartition(3)
+    got = textmodel.vocabulary(table.select("words"), table.select("terms"), vocab, min_df)
+    assert [(-r["tf"], r["term"], r["df"]) for r in got] == want
