@@ -9,6 +9,7 @@ pivots and a query visits only the cells that can still hold one of its ``k`` ne
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,6 +40,17 @@ def _chunk_no(id_col: str, n: Column, at_least: Column) -> Column:
     return F.pmod(F.xxhash64(id_col), chunks)
 
 
+def _unit_rows(col) -> np.ndarray:
+    """Vectors of a pandas column as rows of unit length, zero ones as they are; one matrix of the group's size."""
+    m = np.vstack(col.to_numpy()).astype(np.float64, copy=False)
+    for lo in range(0, len(m), 2048):
+        part = m[lo:lo + 2048]
+        n = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        np.divide(part, n, out=part, where=n > 0)
+        part[~(n > 0)[:, 0]] = 0.0
+    return m
+
+
 def _search_blocks(routed: DataFrame, blocks: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """Best ``k`` of every query within every (chunk, block) pair that was routed together.
 
@@ -63,15 +75,10 @@ def _search_blocks(routed: DataFrame, blocks: DataFrame, k: int, exclude_self: b
             none = np.empty(0, dtype=object)
             return pd.DataFrame({"qid": none, "bid": none, "sim": np.zeros(0)})
 
-        def unit(col):
-            m = np.vstack(col.to_numpy()).astype(np.float64)
-            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
         right = right.sort_values("bid", kind="stable").reset_index(drop=True)
-        base, base_ids = unit(right["bvec"]), right["bid"].to_numpy()
+        base, base_ids = _unit_rows(right["bvec"]), right["bid"].to_numpy()
         query_ids = left["qid"].to_numpy()
-        queries = unit(left["qvec"])
+        queries = _unit_rows(left["qvec"])
         own = None
         if exclude_self:
             position = {b: i for i, b in enumerate(base_ids)}

@@ -123,3 +123,20 @@ def test_a_query_is_sent_to_few_blocks(spark, monkeypatch):
     got = nb.nearest_pruned(base.withColumnRenamed("id", "query_id"), base, 3, pivots=4, block_rows=10)
     assert found(got) == brute(m, m, 3, False)
     assert sum(sent) <= len(m) * (4 + spark.sparkContext.defaultParallelism)
+
+
+def test_unit_rows_take_one_matrix():
+    import tracemalloc
+
+    import pandas as pd
+
+    m = np.random.default_rng(2).normal(size=(16_384, 256))
+    m[7] = 0.0
+    col = pd.Series(list(m.copy()))
+    tracemalloc.start()
+    got = nb._unit_rows(col)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    assert np.array_equal(got, np.divide(m, n, out=np.zeros_like(m), where=n > 0))
+    assert peak < 1.5 * m.nbytes
