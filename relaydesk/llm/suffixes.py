@@ -32,6 +32,7 @@ BUCKET_BYTES = 2 << 20
 GROUP_BYTES = 6 << 20
 SPLIT = (32, 1)
 SEGMENT = 2 << 20
+CODEC = "zstd"  # of the tables with texts, regions and anchors: smaller than with the default one
 REGIONS = "h bigint, g bigint, copies bigint, lead bigint, data binary"
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -358,9 +359,9 @@ def _settle(regions: DataFrame, work: Workspace, length: int, group_bytes: int,
     if (most or 0) <= group_bytes or not splits:
         return _sort_buckets(regions, length, buckets)
     large = sizes.where(F.col("bytes") > group_bytes).select("h")
-    slices = work.stage(f"{name}-slices", _slices(regions.join(large, "h", "left_semi"), length, splits[0]))
+    slices = work.stage(f"{name}-slices", _slices(regions.join(large, "h", "left_semi"), length, splits[0]), CODEC)
     collapsed = slices.groupBy("h", "g").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("data").alias("data"))
-    inner = _settle(work.stage(f"{name}-collapsed", collapsed), work, length, group_bytes, bucket_bytes, splits[1:], f"{name}-{splits[0]}")
+    inner = _settle(work.stage(f"{name}-collapsed", collapsed, CODEC), work, length, group_bytes, bucket_bytes, splits[1:], f"{name}-{splits[0]}")
     move = lambda c: F.transform(c, lambda x: (x + F.col("offset")).cast("int"))
     back = slices.drop("data").join(inner, ["h", "g"]).groupBy("up_h", "up_g").agg(
         F.flatten(F.collect_list(move("starts"))).alias("starts"), F.flatten(F.collect_list(move("ends"))).alias("ends")
@@ -421,12 +422,12 @@ def find_repeats(docs: DataFrame, work: Workspace, length: int = 200, gram: int
         raise ValueError("length must be above gram + 7 and below 65536")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    table = work.stage("anchors", _anchor_table(docs, length, gram).withColumn("row", F.monotonically_increasing_id()))
-    texts = work.stage("texts", _candidates(docs, table, work, length))
+    table = work.stage("anchors", _anchor_table(docs, length, gram).withColumn("row", F.monotonically_increasing_id()), CODEC)
+    texts = work.stage("texts", _candidates(docs, table, work, length), CODEC)
     occurrences = texts.select("row", F.explode(F.arrays_zip("pn", "h", "g")).alias("x")).select("row", "x.pn", "x.h", "x.g")
     regions = work.stage("regions", occurrences.groupBy("h", "g").agg(
         F.count("*").alias("copies"), F.min(F.struct("row", "pn")).alias("one")
-    ))
+    ), CODEC)
     lone = work.stage("lone", regions.groupBy("h").agg(
         F.count("*").alias("variants"), F.sum("copies").alias("copies")
     ).where("variants = 1").select("h", "copies"))
@@ -434,7 +435,7 @@ def find_repeats(docs: DataFrame, work: Workspace, length: int = 200, gram: int
     listed = several.groupBy(F.col("one.row").alias("row")).agg(
         F.collect_list(F.struct(F.col("one.pn").alias("pn"), "h", "g", "copies")).alias("x")
     )
-    cut = work.stage("variants", _cut_regions(texts.select("row", "text").join(listed, "row"), length))
+    cut = work.stage("variants", _cut_regions(texts.select("row", "text").join(listed, "row"), length), CODEC)
     sorted_ = _settle(cut, work, length, group_bytes, bucket_bytes, splits, "groups").where(F.size("starts") > 0)
     windows = (F.col("one.pn").bitwiseAND(F.lit(0xFFFF))).cast("int")
     alone = regions.join(lone.where("copies > 1").select("h"), "h", "left_semi").select(

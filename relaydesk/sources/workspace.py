@@ -35,10 +35,11 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, name: str, df: DataFrame) -> DataFrame:
+    def stage(self, name: str, df: DataFrame, compression: str | None = None) -> DataFrame:
         """Write a table and go on from the written copy: computed once, read by many plans, and
-        safe when executors are lost."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        safe when executors are lost. ``compression`` is a Parquet codec, else the session's."""
+        writer = df.write.mode("overwrite")
+        (writer.option("compression", compression) if compression else writer).parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))
 
     def once(self, name: str, params: dict, build) -> DataFrame:

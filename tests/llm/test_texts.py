@@ -435,3 +435,19 @@ def test_models_without_labels(spark, docs, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs, labels, workspace(spark)).collect()} == {0.0}
     assert {r.score for r in quality_model.score(docs, labels, workspace(spark)).collect()} == {0.5}
+
+
+def test_staged_texts_of_the_repeats_are_small(spark):
+    """The tables with texts, regions and anchors are written with a stronger codec than the session's."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    work = workspace(spark)
+    passage = "".join(f"{k} " for k in range(1000, 1100))
+    docs = spark.createDataFrame([(k, f"{k} begins. {passage} {k * k} ends {k}. {passage[100 * k:]}") for k in range(4)], "doc_id long, text string")
+    assert suffixes.find_repeats(docs, work).where("n_removed > 0").count() == 4
+    for name in ("anchors", "texts", "regions", "variants"):
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{work.path(name).removeprefix('file:')}/*.parquet")]
+        codecs = {m.row_group(0).column(0).compression for m in files if m.num_row_groups}
+        assert codecs == {"ZSTD"}, name
