@@ -1,8 +1,9 @@
 """Exact nearest neighbours by cosine, label votes, centroids and their blend.
 
-Vectors are ``array<double>``. The search is a blocked matrix product: the base is cut into
-blocks and the queries into chunks, a (chunk, block) pair meets in one task, and only the best
-``k`` of every query leave it. For a large base the blocks are Voronoi cells around sampled
+Vectors are ``array<double>``. The search is a blocked matrix product: base and queries are each
+packed once into blocks of unit vectors and stored, every pair of blocks meets in a Cartesian
+product that moves no vector, and a task hands out the best ``k`` of every query over all its
+blocks. For a large base ``nearest_pruned`` makes the blocks Voronoi cells around sampled
 pivots and a query visits only the cells that can still hold one of its ``k`` neighbours
 (pivot-based k-NN join, Lu et al., VLDB 2012), which keeps the result exact.
 """
@@ -16,7 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import cosine
+from ..sources.workspace import Workspace
 
+PACK_ROWS = 4096  # of a packed block
+PACK_BYTES = 8 << 20  # of its vectors, before they are compressed, if it has several rows
+PART_ROWS = 32_768  # of a file of packed blocks
+TILE_QUERIES = 256  # whose similarities to a block are held at once
+PIECE_PAIRS = 8192  # scored again at once
 BLOCK_ROWS = 16_384
 CHUNK_ROWS = 16_384
 MIN_CHUNK_ROWS = 256
@@ -42,7 +49,11 @@ def _chunk_no(id_col: str, n: Column, at_least: Column) -> Column:
 
 def _unit_rows(col) -> np.ndarray:
     """Vectors of a pandas column as rows of unit length, zero ones as they are; one matrix of the group's size."""
-    m = np.vstack(col.to_numpy()).astype(np.float64, copy=False)
+    return _to_unit(np.vstack(col.to_numpy()).astype(np.float64, copy=False))
+
+
+def _to_unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length in place, zero ones as they are."""
     for lo in range(0, len(m), 2048):
         part = m[lo:lo + 2048]
         n = np.sqrt((part * part).sum(axis=1, keepdims=True))
@@ -139,6 +150,164 @@ def _named(hits: DataFrame, qid: str, bid: str) -> DataFrame:
     )
 
 
+def _packed(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Rows (id, vec) as stored blocks (no, ids, own, vecs) of unit vectors in the order of their ids within a block.
+
+    Rows of one id are in one file; ``own`` marks one of them.
+    """
+
+    def kernel(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        seen = set()
+        for batch in batches:
+            ids, vec = batch.columns
+            sizes = pc.unique(pc.list_value_length(vec)).to_pylist()
+            if len(sizes) > 1 or None in sizes:
+                raise ValueError("vectors have to be of one length and not null")
+            most = max(1, min(PACK_ROWS, PACK_BYTES // (8 * max([1, *sizes]))))
+            for part in np.array_split(np.arange(batch.num_rows), -(-batch.num_rows // most) or 1):
+                if len(part) == 0:
+                    continue
+                some = batch.slice(part[0], len(part))
+                some = some.take(pc.sort_indices(some.column(0)))
+                own = []
+                for x in some.column(0).to_pylist():
+                    own.append(x not in seen)
+                    seen.add(x)
+                m = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), sizes[0])
+                ends = pa.array([0, len(part)], pa.int32())
+                packed = pa.compress(_to_unit(m).tobytes(), codec="zstd", asbytes=True)
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (some.column(0), pa.array(own, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([m.nbytes]), pa.array([packed], pa.binary())], ["ids", "own", "size", "vecs"])
+
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    n = rows.count()
+    files = max(-(-n // PART_ROWS), min(-(-n // MIN_CHUNK_ROWS), int(np.ceil(np.sqrt(2 * slots)))), 1)
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = rows.repartition(files, "id").mapInArrow(kernel, f"ids array<{kind}>, own array<boolean>, size bigint, vecs binary")
+    return work.stage(name, blocks.withColumn("no", F.monotonically_increasing_id()), "zstd")
+
+
+def _exact_values(q: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of some rows of ``q`` with rows of ``b``, in whole where they are many."""
+    if len(row) * 16 > len(q) * len(b):
+        return (q @ b.T)[row, col]
+    pieces = [slice(i, i + PIECE_PAIRS) for i in range(0, len(row), PIECE_PAIRS)]
+    return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[row[p]], b[col[p]]) for p in pieces]])
+
+
+class _Chunk:
+    """Queries, and the best ``k`` rows of each in the blocks they have met so far."""
+
+    def __init__(self, ids, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.single = vectors.astype(np.float32)
+        self.best = np.full((len(vectors), k), -np.inf)  # similarities, the least first
+        self.kept: list = []  # of a block: query, similarity, id of the row
+
+    def meet(self, ids, vectors: np.ndarray, own: np.ndarray | None = None) -> None:
+        """``ids`` are in order; ``own`` is the row of the block that each query must not find, or -1."""
+        n, k = len(vectors), min(self.k, len(vectors))
+        single = vectors.astype(np.float32)
+        slack = (vectors.shape[1] + 8) * 2.0 ** -22  # more than the single-precision product can be off
+        for start in range(0, len(self.vectors), TILE_QUERIES):
+            rows = slice(start, start + TILE_QUERIES)
+            near = self.single[rows] @ single.T
+            if own is not None:
+                mine = np.flatnonzero(own[rows] >= 0)
+                near[mine, own[rows][mine]] = -np.inf
+            kth = self.best[rows, 0]
+            bar = kth - slack
+            if k < n and not np.isfinite(kth).all():
+                bar = np.maximum(bar, np.partition(near, n - k, axis=1)[:, n - k] - 2 * slack)
+            row, col = np.divmod(np.flatnonzero(near >= np.maximum(bar, -2.0).astype(np.float32)[:, None]), n)
+            if len(row) == 0:
+                continue
+            value = np.round(_exact_values(self.vectors[rows], vectors, row, col), SIM_DIGITS)
+            reached = value >= kth[row]  # ties of blocks are settled by their ids later
+            row, col, value = row[reached], col[reached], value[reached]
+            order = np.lexsort((col, -value, row))
+            row, col, value = row[order], col[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, value, place = (x[place < k] for x in (row, col, value, place))
+            more = np.full((len(kth), self.k), -np.inf)
+            more[row, place] = value
+            self.best[rows] = np.sort(np.concatenate([self.best[rows], more], axis=1), axis=1)[:, self.k:]
+            self.kept.append((row + start, value, ids.take(col)))
+
+    def found(self):
+        """(query, similarity, row) of the best ``k`` and of rows as good as the last of them, a block after the other."""
+        for row, value, ids in self.kept:
+            good = value >= self.best[row, 0]
+            yield self.ids.take(row[good]), ids.filter(good), value[good]
+
+
+def _search_packed(chunks: DataFrame, blocks: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, bid, sim): the best ``k`` of every query among the blocks of a task."""
+    schema = T.StructType([
+        T.StructField("qid", chunks.schema["ids"].dataType.elementType),
+        T.StructField("bid", blocks.schema["ids"].dataType.elementType), T.StructField("sim", T.DoubleType()),
+    ])
+
+    def kernel(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def vectors(size, packed, n):
+            raw = pa.decompress(packed.as_buffer(), decompressed_size=size.as_py(), codec="zstd") if size.as_py() else b""
+            return np.frombuffer(raw, np.float64, count=size.as_py() // 8).reshape(n, -1 if size.as_py() else 0)
+
+        def found(chunk):
+            for qids, bids, value in chunk.found() if chunk else ():
+                yield pa.RecordBatch.from_arrays([qids, bids, pa.array(value)], schema.names)
+
+        at, chunk, names = None, None, []
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
+            for r in range(batch.num_rows):
+                if column["no"][r].as_py() != at:
+                    yield from found(chunk)
+                    at, qids = column["no"][r].as_py(), column["qids"][r].values
+                    chunk = _Chunk(qids, vectors(column["q_size"][r], column["q_vecs"][r], len(qids)), k)
+                    names = qids.to_pylist() if exclude_self else []
+                bids, own = column["ids"][r].values, None
+                if exclude_self:
+                    marked = column["own"][r].values.to_pylist()
+                    place = {x: i for i, x in enumerate(bids.to_pylist()) if marked[i]}
+                    own = np.array([place.get(x, -1) for x in names])
+                chunk.meet(bids, vectors(column["size"][r], column["vecs"][r], len(bids)), own)
+        yield from found(chunk)
+
+    asked = chunks.select("no", F.col("ids").alias("qids"), F.col("size").alias("q_size"), F.col("vecs").alias("q_vecs"))
+    return asked.crossJoin(blocks.select("ids", "own", "size", "vecs")).mapInArrow(kernel, schema)
+
+
+class PackedSearch:
+    """:func:`nearest` for several searches: a base is packed once, and so are the queries of searches in a row.
+
+    The packed queries of other searches are overwritten, so these have to be done.
+    """
+
+    def __init__(self, work: Workspace):
+        self._work, self._bases, self._asked = work, [], None
+
+    def __call__(self, queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id",
+                 base_id: str = "id", vec: str = "vec", exclude_self: bool = False) -> DataFrame:
+        blocks = next((p for b, key, p in self._bases if b is base and key == (base_id, vec)), None)
+        if blocks is None:
+            rows = base.select(F.col(base_id).alias("id"), as_doubles(F.col(vec)).alias("vec"))
+            blocks = _packed(rows, self._work, f"base-{len(self._bases)}")
+            self._bases.append((base, (base_id, vec), blocks))
+        if self._asked is None or self._asked[0] is not queries or self._asked[1] != (query_id, vec):
+            rows = queries.select(F.col(query_id).alias("id"), as_doubles(F.col(vec)).alias("vec"))
+            self._asked = (queries, (query_id, vec), _packed(rows, self._work, "queries"))
+        hits = _search_packed(self._asked[2], blocks, k, exclude_self)
+        return _named(_best(hits, k), query_id, base_id)
+
+
 def nearest(
     queries: DataFrame,
     base: DataFrame,
@@ -149,21 +318,7 @@ def nearest(
     exclude_self: bool = False,
 ) -> DataFrame:
     """(query_id, base_id, similarity, rank) of the ``k`` nearest base rows of every query."""
-    q = queries.select(F.col(query_id).alias("qid"), as_doubles(F.col(vec)).alias("qvec"))
-    b = base.select(F.col(base_id).alias("bid"), as_doubles(F.col(vec)).alias("bvec"))
-    n_blocks = F.greatest(
-        F.ceil(b.agg(F.count("*")).scalar() / F.lit(BLOCK_ROWS)), F.lit(1).cast("bigint")
-    )
-    blocks = b.withColumn("block", F.pmod(F.xxhash64("bid"), n_blocks))
-    n_queries = q.agg(F.count("*")).scalar()
-    slots = queries.sparkSession.sparkContext.defaultParallelism
-    # every chunk meets every block: together they should keep all slots busy
-    enough = F.ceil(F.lit(slots) / n_blocks)
-    routed = q.withColumn("chunk", _chunk_no("qid", n_queries, enough)).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
-    )
-    hits = _search_blocks(routed, blocks, k, exclude_self)
-    return _named(_best(hits, k), query_id, base_id)
+    return PackedSearch(Workspace(queries.sparkSession))(queries, base, k, query_id, base_id, vec, exclude_self)
 
 
 def nearest_pruned(

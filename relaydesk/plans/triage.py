@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.escalation import decide_always_auto, decide_by_factors, decide_by_keywords
-from ..operators.neighbours import classify_blend, retrieve_cases
+from ..operators.neighbours import PackedSearch, classify_blend, nearest, retrieve_cases
 from ..operators.replies import canned_reply, nearest_reply, template_reply
 from ..operators.textmodel import classify_tfidf, encode
+from ..sources.workspace import Workspace
 from .configs import Resources, TriageConfig
 
 
@@ -30,6 +33,11 @@ def vectorise(df: DataFrame, resources: Resources, id_col: str, text_col: str) -
     return encode(named, resources.encoder, "customer_text")
 
 
+def packed_once(config: TriageConfig, work: Workspace) -> TriageConfig:
+    """The configuration with an exact search that packs the vectors of both its searches once."""
+    return replace(config, search=PackedSearch(work)) if config.search is nearest else config
+
+
 def with_cases(queries: DataFrame, resources: Resources, config: TriageConfig) -> DataFrame:
     """(query_id, retrieved_cases) of every query."""
     return retrieve_cases(
@@ -44,6 +52,7 @@ def triage(queries: DataFrame, config: TriageConfig, resources: Resources,
     ``cases`` may hold retrieved cases computed before, as for several configurations over the
     same messages. Messages without text keep their row with an empty decision and intent.
     """
+    config = packed_once(config, Workspace(queries.sparkSession))
     if config.classifier == "majority":
         classified = classify_majority(
             queries, resources.pack.intents, resources.majority or resources.pack.fallback_intent

@@ -140,3 +140,57 @@ def test_unit_rows_take_one_matrix():
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     assert np.array_equal(got, np.divide(m, n, out=np.zeros_like(m), where=n > 0))
     assert peak < 1.5 * m.nbytes
+
+
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_packed_blocks(spark, points, monkeypatch, skip_self):
+    """Many blocks, with ties between them: vectors are dealt once to a side, a pair of blocks meets without a shuffle."""
+    monkeypatch.setattr(nb, "PACK_ROWS", 16)
+    m, _ = points
+    base = table(spark, m)
+    got = nb.nearest(base.withColumnRenamed("id", "query_id"), base, 4, exclude_self=skip_self)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan and "vecs" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)
+    assert found(got) == brute(m, m, 4, skip_self)
+
+
+@pytest.mark.parametrize("tile, piece", [(256, 8192), (7, 3)])
+def test_blocks_one_after_the_other(monkeypatch, tile, piece):
+    import pyarrow as pa
+
+    monkeypatch.setattr(nb, "TILE_QUERIES", tile)
+    monkeypatch.setattr(nb, "PIECE_PAIRS", piece)
+    rng = np.random.default_rng(3)
+    b = nb._to_unit(rng.normal(size=(300, 12)))
+    b[250:260], b[200] = b[3], 0.0
+    b[40:60] = nb._to_unit(b[40] + 1e-8 * rng.normal(size=(20, 12)))  # alike in single precision
+    q = np.concatenate([b[:50], nb._to_unit(rng.normal(size=(30, 12)))])
+    chunk = nb._Chunk(pa.array(np.arange(80)), q, 4)
+    for lo in (100, 0, 200):  # blocks in any order
+        chunk.meet(pa.array(np.arange(lo, lo + 100)), b[lo:lo + 100])
+    hits = [x for part in chunk.found() for x in zip(*(np.asarray(y).tolist() for y in part))]
+    best = {}
+    for i, j, value in sorted(hits, key=lambda x: (x[0], -x[2], x[1])):
+        best.setdefault(i, []).append(j)
+    assert {i: x[:4] for i, x in best.items()} == brute(q, b, 4, False)
+    assert len(hits) < 80 * 3 * 4 / 2
+
+
+def test_one_row_of_a_repeated_id_is_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0])]
+    base = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = nb.nearest(base.where("id = 1").limit(1).withColumnRenamed("id", "query_id"), base, 5, exclude_self=True)
+    assert [(r.id, round(r.similarity, 6)) for r in got.orderBy("rank").collect()] == [(1, 1.0), (None, 0.707107), (2, 0.0)]
+
+
+def test_a_base_is_packed_once(spark, work, points):
+    m, _ = points
+    base, search = table(spark, m), nb.PackedSearch(work)
+    staged, stage = [], type(work).stage
+    work.__dict__["stage"] = lambda name, *more: (staged.append(name), stage(work, name, *more))[1]
+    for part in (base.where("id < 9"), base.where("id between 9 and 20")):
+        q = part.withColumnRenamed("id", "query_id")
+        both = [found(search(q, base, k, exclude_self=True)) for k in (3, 2)]
+        want = brute(m, m, 3, True)
+        assert both[0] == {i: want[i] for i in both[0]} and both[1] == {i: x[:2] for i, x in both[0].items()} and len(both[0]) in (9, 12)
+    assert staged == ["base-0", "queries", "queries"]
