@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.configs import Resources, TriageConfig
-from ..plans.triage import triage, vectorise
+from ..plans.triage import packed_once, triage, vectorise
+from ..sources.workspace import Workspace
 
 
 def triage_stream(
@@ -22,17 +23,16 @@ def triage_stream(
     """Run the batch triage on every micro-batch and write it to ``out``.
 
     Neighbour ranking needs whole batches, so the plan runs inside ``foreachBatch``. Each batch
-    overwrites its own folder, which makes a repeated batch harmless; its vectors are kept while
-    the searches read them.
+    overwrites its own folder, which makes a repeated batch harmless; its vectors are stored while
+    the searches read them, over those of the batch before. The vectors searched are packed once.
     """
+    work = Workspace(messages.sparkSession)
+    packed = packed_once(config, work)
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        queries = vectorise(batch, resources, id_col, text_col).persist()
-        try:
-            predictions = triage(queries, config, resources)
-            predictions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        finally:
-            queries.unpersist()
+        queries = work.stage("messages", vectorise(batch, resources, id_col, text_col))
+        predictions = triage(queries, packed, resources)
+        predictions.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(score)

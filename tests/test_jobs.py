@@ -20,6 +20,7 @@ from relaydesk.plans.configs import CONFIGS, PROPOSED
 from relaydesk.plans.triage import triage, vectorise
 from relaydesk.rules import SUPPORT_PACK
 from relaydesk.sources import tables
+from relaydesk.sources.workspace import Workspace
 from relaydesk.streaming import live, pairs
 
 CASE = "array<struct<customer_query:string,support_response:string,similarity:double,id:string>>"
@@ -202,6 +203,20 @@ def test_stream(spark, prepared):
     assert sorted(map(tuple, scored.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
 
 
+def test_stream_packs_its_base_once(spark, prepared, monkeypatch):
+    """Every batch stores its messages over those of the batch before; what they are searched in is packed once."""
+    p, work = prepared
+    resources = prepare.train(p, work, tfidf=False)
+    for i in range(2):
+        spark.createDataFrame([(f"m{i}", "my wifi signal")], "id string, text string").coalesce(1).write.mode("append").parquet(work.path("two"))
+    staged, stage = [], Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, name, *more: (staged.append(self.path(name)), stage(self, name, *more))[1])
+    arriving = spark.readStream.schema("id string, text string").option("maxFilesPerTrigger", 1).parquet(work.path("two"))
+    live.triage_stream(arriving, PROPOSED, resources, work.path("two_scored"), work.path("two_state")).awaitTermination()
+    assert sorted(x.rsplit("/", 1)[1] for x in staged) == ["base-0", "base-1", "messages", "messages", "queries", "queries"]
+    assert len(set(staged)) == 4 and spark.read.parquet(work.path("two_scored")).count() == 2
+
+
 @pytest.mark.parametrize("timed", [False, True])
 def test_first_seen(spark, work, timed):
     rows = [(1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-01 00:01:00"), (3, "a", "2024-01-01 00:02:00")]
