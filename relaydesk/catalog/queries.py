matched_patterns folds a text once, not once for every search

Symptom: matched_patterns spent 1,078 CPU seconds a GB over 0.51 GB (JVM 1,063, GC 15, no Python) in one stage without a shuffle.
Evidence: the plan held lower(translate(text)) 23 times; array_compact is run without generated code, so no common part was shared. Over sf0.1 on four cores one fold took 0.6 s, all eleven searches of a folded text about 1.8 s more.
Fix: the query folds the text in a column of its own, and matched_patterns takes that column; the searches are the same.
Effect: at 1 GB of input CPU 1136 -> 307 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 102 -> 26 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 6585 -> 1491 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 143 -> 35 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 311 -> 126 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 27 -> 8 s, most memory of a task 0 -> 0 MB.

@@ -202,8 +202,9 @@ def escalation_support(spark, d):
 @query
 def matched_patterns(spark, d):
     docs = documents(spark, d)
-    return docs.select("doc_id", *[
-        F.array_join(escalation.matched_patterns(F.col("text"), f.patterns), " ; ").alias(f.name.lower())
+    folded = docs.withColumn("__folded", tx.folded(F.col("text")))  # once for all searches
+    return folded.select("doc_id", *[
+        F.array_join(escalation.matched_patterns(F.col("text"), f.patterns, F.col("__folded")), " ; ").alias(f.name.lower())
         for f in PACK.factors
     ])
 

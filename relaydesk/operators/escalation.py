@@ -11,9 +11,12 @@ from ..rules import RulePack, intent_case
 DECISION = "struct<decision:string,reason:string,factors:array<string>,risk_score:double>"
 
 
-def matched_patterns(text: Column, patterns) -> Column:
-    """The patterns of one group that match, in order."""
-    lowered = folded(text)
+def matched_patterns(text: Column, patterns, lowered: Column | None = None) -> Column:
+    """The patterns of one group that match, in order.
+
+    ``lowered`` is a column that holds the folded text. Without it, every search folds the text anew.
+    """
+    lowered = folded(text) if lowered is None else lowered
     return F.array_compact(F.array(*[F.when(matches(lowered, p), p) for p in patterns]))
 
 
