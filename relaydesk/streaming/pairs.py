@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import clean_message
@@ -13,12 +12,13 @@ from ..functions.text import clean_message
 PAIR = ("conversation_id {kind}, version bigint, asked_at bigint, asked string, answered_at bigint, answer string, "
         "num_turns bigint, closed boolean")
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MOST_REPLIES = 10_000  # turns that a batch reads before it drops the replies that can answer no more
 
 
 class FirstPair(StatefulProcessor):
     """State of one conversation: its first customer turn, the support turns that may answer it, the count.
 
-    Turns come in any order. A support turn behind the one that answers now can never answer, as the question
+    Turns come in any order, one row at a time. A support turn behind the one that answers now can never answer, as the question
     only moves forward in the conversation; so the state holds the answer and the support turns before the
     question; a batch reads these and its own turns. Of turns with one position the greatest text counts.
     """
@@ -31,29 +31,24 @@ class FirstPair(StatefulProcessor):
         self.head = handle.getValueState("head", "version bigint, asked_at bigint, asked string, num_turns bigint")
         self.replies = handle.getMapState("replies", "pos bigint", "text string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         begin = 0 if self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs()  # above all versions before a time-out
-        version, asked_at, asked, turns = self.head.get() if self.head.exists() else (begin, None, None, 0)
-        replies = {k[0]: v[0] for k, v in self.replies.iterator()}
-        held = dict(replies)
-        for part in rows:
-            turns += len(part)
-            part = part[part["pos"].notna()].sort_values(["pos", "text"], na_position="first")
-            mine = part[part["role"] == "customer"]
-            if len(mine):
-                pos = int(mine["pos"].iloc[0])
-                text = _text(mine["text"][mine["pos"] == pos].iloc[-1])
-                if asked_at is None or pos < asked_at or (pos == asked_at and (asked is None or (text is not None and text > asked))):
+        version, asked_at, asked, turns, held = begin, None, None, 0, {}
+        if self.head.exists():  # without it there are no replies either
+            version, asked_at, asked, turns = self.head.get()
+            held = {k[0]: v[0] for k, v in self.replies.iterator()}
+        replies = dict(held)
+        for n, row in enumerate(rows, 1):
+            turns += 1
+            if row.pos is not None and row.pos == row.pos:  # nor NaN
+                pos, text = int(row.pos), row.text
+                if row.role == "customer" and (asked_at is None or pos < asked_at or (pos == asked_at and _greater(text, asked))):
                     asked_at, asked = pos, text
-            theirs = part[part["role"] == "support"].drop_duplicates("pos", keep="last")
-            for pos, text in zip(theirs["pos"], theirs["text"]):
-                text = _text(text)
-                before = replies.get(int(pos))
-                if int(pos) not in replies or before is None or (text is not None and text > before):
-                    replies[int(pos)] = text
-            answered_at = _answer(asked_at, replies)
-            if answered_at is not None:
-                replies = {p: t for p, t in replies.items() if p <= answered_at}
+                elif row.role == "support" and (pos not in replies or _greater(text, replies[pos])):
+                    replies[pos] = text
+            if n % MOST_REPLIES == 0:
+                replies = _useful(asked_at, replies)
+        replies = _useful(asked_at, replies)
         version += 1
         self.head.update((version, asked_at, asked, turns))
         for pos in held.keys() - replies.keys():
@@ -67,7 +62,7 @@ class FirstPair(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield self._row(key, version, asked_at, asked, replies, turns, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.head.exists():
             version, asked_at, asked, turns = self.head.get()
             replies = {k[0]: v[0] for k, v in self.replies.iterator()}
@@ -78,16 +73,20 @@ class FirstPair(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _row(self, key, version, asked_at, asked, replies, turns, closed) -> pd.DataFrame:
+    def _row(self, key, version, asked_at, asked, replies, turns, closed) -> Row:
         at = _answer(asked_at, replies)
-        row = (key[0], version, asked_at, asked, at, None if at is None else replies[at], turns, closed)
-        names = ["conversation_id", "version", "asked_at", "asked", "answered_at", "answer", "num_turns", "closed"]
-        frame = pd.DataFrame([row], columns=names)
-        return frame.astype({"asked_at": "Int64", "answered_at": "Int64", "asked": object, "answer": object})
+        return Row(conversation_id=key[0], version=version, asked_at=asked_at, asked=asked, answered_at=at,
+                   answer=replies.get(at), num_turns=turns, closed=closed)
+
+
+def _greater(text: str | None, before: str | None) -> bool:
+    return before is None or (text is not None and text > before)
 
 
-def _text(value) -> str | None:
-    return None if pd.isna(value) else value
+def _useful(asked_at: int | None, replies: dict) -> dict:
+    """The replies without those behind the one that answers."""
+    at = _answer(asked_at, replies)
+    return replies if at is None else {p: t for p, t in replies.items() if p <= at}
 
 
 def _answer(asked_at: int | None, replies: dict) -> int | None:
@@ -110,7 +109,8 @@ def pair_stream(
     Time-outs need a trigger that goes on (every 10 seconds if none is given; ``stop()`` ends it): one that ends
     with the available turns is refused, as it would wait for time-outs for ever. ``score``, for example a triage with
     prepared resources, sees only the changed rows of a batch. A batch overwrites its own folder, which makes a
-    repeated batch harmless. Turns are shuffled once, by conversation: the state of one lies in one task, to which its turns of a batch stream.
+    repeated batch harmless. The state is that of ``transformWithState``: Spark refuses a checkpoint that a stream of
+    ``transformWithStateInPandas`` wrote. Turns are shuffled once, by conversation: the state of one lies in one task, to which its turns of a batch stream.
     """
     trigger = trigger or ({"availableNow": True} if idle_ms is None else {"processingTime": "10 seconds"})
     if idle_ms is not None and "availableNow" in trigger:
@@ -118,7 +118,7 @@ def pair_stream(
     spark = turns.sparkSession
     kind = turns.schema["conversation_id"].dataType.simpleString()
     useful = turns.where(F.col("role").isin("customer", "support") & F.col("conversation_id").isNotNull())
-    pairs = useful.select("conversation_id", "pos", "role", "text").groupBy("conversation_id").transformWithStateInPandas(
+    pairs = useful.select("conversation_id", "pos", "role", "text").groupBy("conversation_id").transformWithState(
         FirstPair(idle_ms), PAIR.format(kind=kind), "Update", "None" if idle_ms is None else "ProcessingTime"
     )
 

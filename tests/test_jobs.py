@@ -10,7 +10,7 @@ from collections import Counter
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from relaydesk import fixed_values as fv
 from relaydesk.operators import replies, textmodel
@@ -303,6 +303,40 @@ def test_pairs_of_turns_in_any_order(spark, work):
     assert spark.read.parquet(work.path("out")).select("batch").distinct().count() == 3
 
 
+class Held:
+    """State of one conversation, as a value and as a map."""
+
+    def __init__(self):
+        self.value, self.entries = None, {}
+        self.exists, self.get = lambda: self.value is not None, lambda: self.value
+        self.update, self.clear = lambda v: setattr(self, "value", v), lambda: self.__init__()
+        self.iterator, self.removeKey = lambda: iter(list(self.entries.items())), lambda k: self.entries.pop(k)
+        self.updateValue = lambda k, v: self.entries.update({k: v})
+        self.getValueState = self.getMapState = lambda *names: Held()
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_state_of_a_conversation_takes_rows_one_by_one(monkeypatch, most):
+    monkeypatch.setattr(pairs, "MOST_REPLIES", most, raising=False)
+    rng = random.Random(most)
+    for _ in range(300):
+        rows = [Row(conversation_id=7, pos=rng.choice([None, *range(8)]), role=rng.choice(["customer", "support", "support"]),
+                    text=rng.choice([None, "", "a", "ab", "é"])) for _ in range(rng.randrange(1, 14))]
+        first = pairs.FirstPair(None)
+        first.init(Held())
+        for k in range(3):
+            out = [x for part in [rows[k::3]] if part for x in first.handleInputRows((7,), iter(part), None)] or out
+        best = lambda texts: max((t for t in texts if t is not None), default=None)
+        asked_at = min((r.pos for r in rows if r.role == "customer" and r.pos is not None), default=None)
+        theirs = [r for r in rows if r.role == "support" and r.pos is not None]
+        at = min((r.pos for r in theirs if asked_at is not None and r.pos > asked_at), default=None)
+        asked = best(r.text for r in rows if r.role == "customer" and r.pos is not None and r.pos == asked_at)
+        answer = best(r.text for r in theirs if r.pos == at)
+        assert [tuple(r) for r in out] == [(7, min(len(rows), 3), asked_at, asked, at, answer, len(rows), False)]
+        assert first.replies.entries == {(r.pos,): (best(x.text for x in theirs if x.pos == r.pos),)
+                                         for r in theirs if at is None or r.pos <= at}
+
+
 def test_idle_conversations_are_closed(spark, work):
     def arrive(*rows):
         spark.createDataFrame(rows, TURNS).coalesce(1).write.mode("append").parquet(work.path("turns"))
